@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, html, pii, quality, simhash, urls
+from . import bpe, html, pii, quality, simhash, substrings, urls
 from .common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -16,6 +16,7 @@ QUERIES = {
     "op5_pii": lambda spark, d: pii.find(table(spark, d, "documents")),
     "op8_simhash": lambda spark, d: simhash.groups(table(spark, d, "documents")),
     "op9_byte_bpe": lambda spark, d: bpe.encode_digests(table(spark, d, "documents"), VOCABULARY, public_tokenizers.PATTERN),
+    "op10_substring_dedup": lambda spark, d: substrings.remove(table(spark, d, "documents")),
 }
 
 ORACLE_SQL = {
