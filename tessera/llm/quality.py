@@ -65,6 +65,13 @@ def beta_prior(hosts: DataFrame, least: float = 2.0, most: float = 1000.0) -> tu
     return max(m * weight, 1e-9), max((1 - m) * weight, 1e-9)
 
 
+def failing_hosts(rows: DataFrame, max_rate: float) -> DataFrame:
+    """(_host): hosts whose shrunk failure rate is above ``max_rate``."""
+    hosts = rows.where(F.col("_host").isNotNull()).groupBy("_host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("base_failed").cast("bigint")).alias("failed"))
+    alpha, beta = beta_prior(hosts)
+    return hosts.where((F.col("failed") + F.lit(alpha)) / (F.col("n") + F.lit(alpha + beta)) > max_rate).select("_host")
+
+
 def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", max_rate: float = 0.5) -> DataFrame:
     """Features of every row, and ``kept``: neither it nor its host failed.
 
@@ -73,13 +80,21 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str =
     of narrow rows, of which Spark splits hot hosts.
     """
     rows = durable(features(docs, key, text, host))
-    hosts = rows.where(F.col("_host").isNotNull()).groupBy("_host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("base_failed").cast("bigint")).alias("failed"))
-    alpha, beta = beta_prior(hosts)
-    shrunk = (F.col("failed") + F.lit(alpha)) / (F.col("n") + F.lit(alpha + beta))
-    out = hosts.where(shrunk > max_rate).select("_host", F.lit(True).alias("_out"))
+    out = failing_hosts(rows, max_rate).withColumn("_out", F.lit(True))
     return rows.join(out, "_host", "left").withColumn("kept", ~F.col("base_failed") & F.col("_out").isNull()).drop("_host", "_out")
 
 
+def keep(docs: DataFrame, text: str = "text", host: str = "source", max_rate: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that neither fail themselves nor have a failing host, with all their columns.
+
+    Texts are read twice, for the hosts' rates and for the rows, and meet only the list
+    of failing hosts, which Spark broadcasts where its measured size allows.
+    """
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), F.col(text).alias("_t"), F.col(host).alias("_h"))
+    judged = features(rows, "_doc", "_t", "_h").where("NOT base_failed")
+    return judged.join(failing_hosts(durable(features(docs.select(F.lit(0).alias("_k"), text, host), "_k", text, host)), max_rate), "_host", "left_anti").select("_doc.*")
+
+
 ORACLE_SQL = r"""
 WITH d AS (SELECT doc_id, source, row_number() OVER () AS r, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
