@@ -91,7 +91,8 @@ def keep(docs: DataFrame, text: str = "text", host: str = "source", max_rate: fl
     of failing hosts, which Spark broadcasts where its measured size allows.
     """
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), F.col(text).alias("_t"), F.col(host).alias("_h"))
-    judged = features(rows, "_doc", "_t", "_h").where("NOT base_failed")
+    # The filter must stay above the features: pushed below, it would hold all their steps many times over.
+    judged = features(rows, "_doc", "_t", "_h").withColumn("_at", F.monotonically_increasing_id()).where("NOT base_failed AND _at >= 0")
     return judged.join(failing_hosts(durable(features(docs.select(F.lit(0).alias("_k"), text, host), "_k", text, host)), max_rate), "_host", "left_anti").select("_doc.*")
 
 
