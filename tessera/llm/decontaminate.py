@@ -32,28 +32,28 @@ NUMBER = re.compile(r"[+-]?[$€£]?[0-9][0-9.,:/]*(?:%|[a-zA-Z]{1,3})?")
 EDGES = ".,;:!?()[]{}<>\"'`*#&|%$«»“”‘’…-"
 ENDS = tuple(".!?:;\"”»")
 
-#: Placeholder types; a template word is its hash, a placeholder its type.
-NUM, UNIT, NAME = U(1), U(2), U(3)
+#: Flags in the low three bits of a word's value; the rest is the template hash, or a placeholder's type.
 SKIP, CAPITAL, END = 1, 2, 4
+NUM, UNIT, NAME = 8, 16, 24
+TEMPLATE = U((1 << 64) - 8)
 
 
 class Vocabulary(dict):
-    """Word to (template hash, flags); bounded."""
+    """Word to template hash and flags; bounded."""
 
-    def __missing__(self, word: str) -> tuple[int, int]:
-        if len(self) > 400_000:
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
             self.clear()
         core = word.strip(EDGES)
-        low = core.lower()
         flags = END if word == "\0" or word.endswith(ENDS) else 0
         if word == "\0" or not core:
-            found = 0, flags | SKIP
-        elif NUMBER.fullmatch(core) or low in NUMBERS:
-            found = int(NUM), flags
+            found = flags | SKIP
+        elif not core.isalpha() and NUMBER.fullmatch(core) or (low := core.lower()) in NUMBERS:
+            found = flags | NUM
         elif low in UNITS:
-            found = int(UNIT), flags
+            found = flags | UNIT
         else:
-            found = xxhash.xxh64_intdigest(low.encode(), 11) | 1 << 62, flags | (CAPITAL if core[0].isupper() else 0)
+            found = (xxhash.xxh64_intdigest(low, 11) | 1 << 63) >> 3 << 3 | flags | (CAPITAL if core[0].isupper() else 0)
         self[word] = found
         return found
 
@@ -69,9 +69,8 @@ class Templates:
         split = [t.replace("\n", " \0 ").split() if t else [] for t in texts]
         sizes = np.fromiter(map(len, split), np.int64, len(split))
         raw = [w for ws in split for w in ws]
-        found = list(map(_VOCABULARY.__getitem__, raw))
-        hashes = np.array([x for x, _ in found], U)
-        flags = np.fromiter((x for _, x in found), np.uint8, len(found))
+        values = np.fromiter(map(_VOCABULARY.__getitem__, raw), U, len(raw))
+        flags, hashes = values.astype(np.uint8) & 7, values & TEMPLATE
         doc = np.repeat(np.arange(len(texts)), sizes)
         inside = np.zeros(len(raw), bool)
         if len(raw):
@@ -84,9 +83,10 @@ class Templates:
         if n < width:
             self.start, self.window = np.zeros(0, np.int64), np.zeros(0, U)
             return
+        even = mixed(self.words)
         total = np.zeros(n - width + 1, U)
         for k in range(width):
-            total = total * U(0x9E3779B97F4A7C15) + mixed(self.words[k : n - width + 1 + k] + U(7))
+            total = total * U(0x9E3779B97F4A7C15) + even[k : n - width + 1 + k]
         self.start = np.flatnonzero(self.doc[width - 1 :] == self.doc[: n - width + 1])
         self.window = mixed(total[self.start])
 
@@ -124,8 +124,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     sizes = items.groupBy("id").agg(F.countDistinct("h").alias("n_windows"))
     bits = docs.sparkSession.sparkContext.broadcast(bitmap(items.select(F.col("h").alias("v")).distinct(), "true")[0])
     found = _windows(docs.select(F.col(key).cast("bigint").alias("k"), text).where("k IS NOT NULL"), width, bits)
+    # Few windows pass: they are kept, so that texts are read once.
     met = found.select("h", F.col("id").alias("doc"), "pos", "slots").join(items.select("h", F.col("id").alias("item"), F.col("pos").alias("i_pos"), F.col("slots").alias("i_slots")), "h")
-    met = met.withColumn("shift", F.col("pos") - F.col("i_pos"))
+    met = durable(met.withColumn("shift", F.col("pos") - F.col("i_pos")))
     hits = met.groupBy("doc", "item", "h").agg(F.lit(1).alias("one")).groupBy("doc", "item").agg(F.count(F.lit(1)).alias("n_hit"))
     hits = durable(hits.join(sizes.withColumnRenamed("id", "item"), "item").where(F.col("n_hit") >= F.ceil(F.lit(similarity) * F.col("n_windows") - 1e-9)))
     # Slots, for the documents found only: the best alignment, and whether each item value has one replacement.
