@@ -15,7 +15,7 @@ WORD_JAVA = r"[^\x20\x09-\x0D]+"
 SPACE_JAVA = r"[\x20\x09-\x0D]+"
 
 #: Text bytes handled at once inside a Python worker.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 
 def words(text: str | None) -> list[str]:
