@@ -57,7 +57,7 @@ class Transducer:
     A move yields the token that ends at the byte read.
     """
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 150_000):
         self.ranks, self.max_states = ranks, max_states
         self.entry = {i: b for b, i in ranks.items()}
         self.length = {i: len(b) for b, i in ranks.items()}
@@ -170,7 +170,7 @@ class Transducer:
 class Encoder:
     """Whole texts to packed ids.  Pre-tokens met before come from a bounded table."""
 
-    def __init__(self, path: str, pattern: str, max_kept: int = 400_000):
+    def __init__(self, path: str, pattern: str, max_kept: int = 250_000):
         self.ranks = load_ranks(path)
         self.machine = Transducer(self.ranks)
         self.find = regex.compile(pattern).findall
@@ -264,6 +264,28 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", into: str = "decoded",
     return docs.mapInArrow(run, _appended(docs.schema, (into, T.StringType())))
 
 
+def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", into: str = "ids", step: int = 4096) -> DataFrame:
+    """``encode``, and ``text`` read back from the ids by the streaming decoder, in one pass of one worker."""
+
+    names, at = docs.columns, docs.columns.index(text)
+
+    def run(batches):
+        made, back = encoder(path, pattern), decoder(path)
+        for batch in sliced(batches):
+            packed = [made.packed(t) for t in batch.column(at).to_pylist()]
+            texts, ends = [], [0]
+            for p in packed:
+                ends.append(ends[-1] + len(p) // 4)
+                read = memoryview(p).cast("I")
+                back.reset()
+                texts.append("".join([back.feed(read[k : k + step]) for k in range(0, len(read), step)]) + back.feed((), True))
+            values = pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(b"".join(packed))])
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(texts, pa.string()), *batch.columns[at + 1 :], ids], [*names, into])
+
+    return docs.mapInArrow(run, _appended(docs.schema, (into, T.ArrayType(T.IntegerType()))))
+
+
 DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
