@@ -36,8 +36,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def encode_and_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids and their number are added; the text is the one decoded from the ids."""
     ids = free_name(docs.columns, "ids")
-    encoded = bpe.encode(docs, VOCABULARY, public_tokenizers.PATTERN, into=ids)
-    out = bpe.decode(encoded.drop("text"), VOCABULARY, ids, "text")
+    out = bpe.round_trip(docs, VOCABULARY, public_tokenizers.PATTERN, into=ids)
     return out.select(*(F.col(f"`{c}`") for c in docs.columns), ids, F.size(ids).cast("bigint").alias(free_name(docs.columns, "n_tokens")))
 
 
