@@ -42,7 +42,7 @@ class Vocabulary(dict):
     """Word to template hash and flags; bounded."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 300_000:
             self.clear()
         core = word.strip(EDGES)
         flags = END if word == "\0" or word.endswith(ENDS) else 0
@@ -58,18 +58,15 @@ class Vocabulary(dict):
         return found
 
 
-_VOCABULARY = Vocabulary()
-
-
 class Templates:
     """Template words of a batch of texts, and their windows."""
 
-    def __init__(self, texts: list[str | None], width: int):
+    def __init__(self, texts: list[str | None], width: int, vocabulary: Vocabulary):
         # A line's end is a sentence's end.
         split = [t.replace("\n", " \0 ").split() if t else [] for t in texts]
         sizes = np.fromiter(map(len, split), np.int64, len(split))
         raw = [w for ws in split for w in ws]
-        values = np.fromiter(map(_VOCABULARY.__getitem__, raw), U, len(raw))
+        values = np.fromiter(map(vocabulary.__getitem__, raw), U, len(raw))
         flags, hashes = values.astype(np.uint8) & 7, values & TEMPLATE
         doc = np.repeat(np.arange(len(texts)), sizes)
         inside = np.zeros(len(raw), bool)
@@ -99,9 +96,10 @@ def _windows(rows: DataFrame, width: int, bits=None) -> DataFrame:
     """(h, id, pos, slots) of all windows, or of those in the bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = Vocabulary()
         for batch in sliced(batches):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            made = Templates(batch.column(1).to_pylist(), width)
+            made = Templates(batch.column(1).to_pylist(), width, vocabulary)
             start, h = made.start, made.window
             if bits is not None and len(h):
                 keep = passed(bits.value, h)
