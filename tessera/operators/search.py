@@ -63,7 +63,7 @@ def vector_search(base: DataFrame, vector: str, key: str, queries: DataFrame, qu
     if found is None:
         return base.sparkSession.createDataFrame([], kinds)
     w = Window.partitionBy(query_key).orderBy("distance", key)
-    return found.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= top_k).drop("__r")
+    return found.withColumn("__rank", F.row_number().over(w)).where(F.col("__rank") <= top_k).drop("__rank")
 
 
 class VectorIndex:
@@ -100,4 +100,4 @@ class VectorIndex:
         q = queries.select(F.col(query_key), F.col(query_vector).alias("__q"), F.explode(near(F.col(query_vector))).alias("__list"))
         met = self.rows.join(q, "__list").withColumn("distance", DISTANCES[self.distance](F.col(self.vector), F.col("__q")))
         w = Window.partitionBy(query_key).orderBy("distance", self.key)
-        return met.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= top_k).select(query_key, self.key, "distance")
+        return met.withColumn("__rank", F.row_number().over(w)).where(F.col("__rank") <= top_k).select(query_key, self.key, "distance")
