@@ -213,17 +213,17 @@ class PCA(Estimator):
 class MatrixFactorization:
     def __init__(self, *, num_factors=10, user_col="user_id", item_col="item_id", rating_col="rating", l2_reg=0.1, feedback_type="explicit"):
         self.cols = user_col, item_col, rating_col
-        self.als = recommendation.ALS(rank=num_factors, userCol="u", itemCol="i", ratingCol="r", regParam=l2_reg, implicitPrefs=feedback_type == "implicit", coldStartStrategy="nan", seed=1)
+        self.als = recommendation.ALS(rank=num_factors, userCol="__u", itemCol="__i", ratingCol="__r", regParam=l2_reg, implicitPrefs=feedback_type == "implicit", coldStartStrategy="nan", seed=1)
 
     def _ids(self, X: DataFrame, fit: bool):
         sdf = X.to_spark()
-        u, i, r = self.cols
+        u, i, _ = self.cols
         if fit:
-            self.indexer = SparkPipeline(stages=[feature.StringIndexer(inputCol=c, outputCol=o, handleInvalid="keep") for c, o in ((u, "u"), (i, "i"))]).fit(sdf)
+            self.indexer = SparkPipeline(stages=[feature.StringIndexer(inputCol=c, outputCol=o, handleInvalid="keep") for c, o in ((u, "__u"), (i, "__i"))]).fit(sdf)
         return self.indexer.transform(sdf)
 
     def fit(self, X: DataFrame, y=None):
-        self.model = self.als.fit(self._ids(X, True).withColumn("r", F.col(self.cols[2]).cast("float")))
+        self.model = self.als.fit(self._ids(X, True).withColumn("__r", F.col(self.cols[2]).cast("float")))
         return self
 
     def predict(self, X: DataFrame) -> DataFrame:

@@ -259,3 +259,65 @@ def test_model_backed(session):
 
 def test_names_are_lazy():
     assert set(tessera.__all__) >= {"DataFrame", "Session", "concat", "udf"}
+
+
+def test_sql_functions(session):
+    from tessera import sql
+
+    f = session.read_pandas(pd.DataFrame({"k": [1, 1, 2], "s": ["a", "b", None], "j": ['{"a":1}', '{"a":[1,2]}', None]}))
+    assert list(sql.array_agg(f.groupby("k")["s"]).to_pandas().tolist()[0]) == ["a", "b"]
+    assert values(sql.json_value(f["j"], "$.a")) == ["1", None, None]
+    assert values(sql.json_query(f["j"], "$.a")) == ["1", "[1,2]", None]
+    assert values(sql.json_value(sql.json_set(f["j"], [("$.b", 5)]), "$.b")) == ["5", "5", None]
+    assert values(sql.to_json_string(f["s"])) == ['"a"', '"b"', "null"]
+    assert values(sql.struct(f[["k", "s"]]).struct.field("k")) == [1, 1, 2]
+    assert values(sql.sql_scalar("{0} * 10", [f["k"]])) == [10, 10, 20]
+    assert values(sql.row_number(f, ["k"], ["s"])) == [0, 1, 0]
+
+
+def test_index_recall(session, spark):
+    from tessera.operators.search import VectorIndex, vector_search
+
+    rng = np.random.default_rng(1)
+    base = spark.createDataFrame([(k, rng.normal(size=16).tolist()) for k in range(2000)], "id bigint, v array<double>")
+    q = base.where("id % 100 = 0").select(F.col("id").alias("q"), F.col("v").alias("qv"))
+    exact = {(r.q, r.id) for r in vector_search(base, "v", "id", q, "qv", "q", 10, "EUCLIDEAN", block=7).collect()}
+    x = np.array([r.v for r in base.orderBy("id").collect()])
+    for i in range(0, 2000, 100):
+        near = np.argsort(((x - x[i]) ** 2).sum(1), kind="stable")[:10]
+        assert {(i, int(k)) for k in near} == {p for p in exact if p[0] == i}
+    found = {(r.q, r.id) for r in VectorIndex(base, "v", "id", lists=16).search(q, "qv", "q", 10, probes=12).collect()}
+    assert len(found & exact) >= 0.9 * len(exact)
+
+
+def test_geoseries(session):
+    from tessera import GeoSeries
+
+    g = GeoSeries.from_xy([1.0, 2.5], [3.0, 4.0], session=session)
+    assert values(g.x) == [1.0, 2.5] and values(g.to_wkt()) == ["POINT(1 3)", "POINT(2.5 4)"]
+    assert values(g.distance("POINT(1 3)"))[0] == 0.0
+
+
+def test_named_models(session):
+    from tessera import sql
+
+    x = np.arange(50.0)
+    f = session.read_pandas(pd.DataFrame({"a": x, "y": 2 * x}))
+    sql.create_model("m", "LinearRegression", f, "y")
+    assert sql.evaluate("m", f, "y")["r2_score"] > 0.99 and len(sql.predict("m", f[["a"]])) == 50
+    out = sql.explain_predict("m", f[["a"]]).to_pandas()
+    assert out["top_feature_attributions"][3][0]["feature"] == "a"
+
+
+def test_other_models(session):
+    from tessera import ml
+
+    f = session.read_pandas(pd.DataFrame({"u": ["a", "a", "b", "b", "c"], "i": [1, 2, 1, 3, 2], "rating": [5.0, 3.0, 4.0, 1.0, 2.0], "x": [1.0, 2.0, 3.0, None, 5.0]}))
+    assert len(ml.MatrixFactorization(num_factors=2, user_col="u", item_col="i", rating_col="rating").fit(f).predict(f)) == 5
+    assert values(ml.SimpleImputer(strategy="mean").fit(f[["x"]]).transform(f[["x"]]).iloc_column(0))[3] == 2.75
+    assert ml.PCA(n_components=1).fit(f[["i", "rating"]]).predict(f[["i", "rating"]]).columns[0] == "principal_component_1"
+    assert values(ml.KBinsDiscretizer(n_bins=2, strategy="uniform").fit(f[["i"]]).transform(f[["i"]]).iloc_column(0)) == ["bin_1", "bin_2", "bin_1", "bin_2", "bin_2"]
+    assert ml.PolynomialFeatures(2).fit_transform(f[["i", "rating"]]).shape[1] == 5
+    assert len(ml.RandomForestClassifier(numTrees=3).fit(f[["i", "rating"]], f["u"]).predict(f[["i", "rating"]])) == 5
+    assert len(ml.KMeans(n_clusters=2).fit(f[["i"]]).detect_anomalies(f[["i"]])) == 5
+    assert [len(t) + len(v) for t, v, _, _ in ml.KFold(2).split(f)] == [5, 5]
