@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import uuid
 from collections.abc import Iterable, Iterator
@@ -38,8 +39,11 @@ def durable(df: DataFrame) -> DataFrame:
 
     Lineage ends here: a lost executor costs its running tasks, not the work before.
     Files go under the application's id, so a finished application's folder can be removed.
+    Shuffle files of earlier steps, which nothing refers to any more, are let go first.
     """
     spark = df.sparkSession
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

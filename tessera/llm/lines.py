@@ -5,13 +5,14 @@ A line's set is its distinct words.  Words are ordered by rarity over all docume
 their counts, and the rank replaces those bits, so that the key's own order is a total
 order of words, rare ones first.  Two sets with Jaccard similarity ``t`` or more share
 a word among the first ``n - ceil(t n) + 1`` of each; length and position bound the
-overlap further; what is left is verified on the whole sets.  A line goes if an
+overlap further, as does a 64-bit parity signature; what is left is verified on the
+whole sets.  A line goes if an
 earlier line (by document key, then line number) is that similar to it, whether or
 not that one stays.
 
 Equal sets are one row, their first line.  Lines with four words or fewer match equal
 sets only (at ``t`` = 0.8).  A first round holds each line against the earliest and
-the previous line of every prefix word, so groups of copies cost a number of pairs
+the previous line with its rarest words, so groups of copies cost a number of pairs
 linear in their size; a second one holds the lines not yet out against all earlier
 ones.  Only kept pairs of keys are shuffled, never pairs of texts.
 
@@ -61,159 +62,175 @@ def rarity(docs: DataFrame, key: str = "doc_id", text: str = "text") -> np.ndarr
 
 
 class LineSets:
-    """The word sets of all lines with a word of a batch of texts."""
-
-    def __init__(self, texts: list[str], ranks: np.ndarray):
-        words, sizes, doc, number = [], [], [], []
-        for d, text in enumerate(texts):
-            for k, line in enumerate(text.encode().split(b"\n")):
-                if ws := line.split():
-                    words += ws
-                    sizes.append(len(ws))
-                    doc.append(d)
-                    number.append(k)
-        self.doc, self.number = np.array(doc, np.int64), np.array(number, np.int32)
-        lines = len(sizes)
-        if not lines:
-            self.n, self.sid, self.starts, self.keys = np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, U)
+    """The word sets of lines with a word of a batch of texts; ``wanted`` may pick among (text, line) pairs first."""
+
+    def __init__(self, texts: list[str], ranks: np.ndarray, wanted=None):
+        split = [t.encode().split(b"\n") for t in texts]
+        sizes = np.fromiter(map(len, split), np.int64, len(split))
+        doc = np.repeat(np.arange(len(texts)), sizes)
+        number = np.arange(len(doc)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        lines = [x for xs in split for x in xs]
+        if wanted is not None:
+            at = np.flatnonzero(wanted(doc, number))
+            doc, number, lines = doc[at], number[at], [lines[k] for k in at.tolist()]
+        lines = [x.split() for x in lines]
+        sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+        full = np.flatnonzero(sizes)
+        self.doc, self.number, sizes = doc[full], number[full].astype(np.int32), sizes[full]
+        words = [w for ws in lines for w in ws]
+        count = len(full)
+        if not count:
+            self.n, self.sid, self.sig, self.starts, self.keys = np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, U)
             return
         h = word_hashes(words)
         keys = (ranks[(h >> U(48)).astype(np.int64)] << U(48)) | (h & LOW48)
-        line = np.repeat(np.arange(lines, dtype=np.int32), sizes)
+        line = np.repeat(np.arange(count, dtype=np.uint16 if count < 1 << 16 else np.int32), sizes)  # two bytes sort by radix
         order = np.argsort(keys)
         order = order[np.argsort(line[order], kind="stable")]
         keys, line = keys[order], line[order]
         new = np.ones(len(keys), bool)
         new[1:] = (keys[1:] != keys[:-1]) | (line[1:] != line[:-1])
         self.keys, line = keys[new], line[new]
-        self.n = np.bincount(line, minlength=lines)
+        self.n = np.bincount(line, minlength=count)
         self.starts = np.cumsum(self.n) - self.n
-        self.sid = mixed(np.add.reduceat(mixed(self.keys), self.starts) + self.n.astype(U))
+        even = mixed(self.keys)
+        self.sid = mixed(np.add.reduceat(even, self.starts) + self.n.astype(U))
+        #: Parity of the words that fall on each of 64 bits: sets differ in as many words as their signatures in bits, or more.
+        self.sig = np.bitwise_xor.reduceat(U(1) << (even >> U(58)), self.starts)
 
-    def lists(self, chosen: np.ndarray, sizes: np.ndarray) -> pa.Array:
-        """The first ``sizes`` words of each chosen line."""
+    def lists(self, sizes: np.ndarray, kind=np.int64) -> pa.Array:
+        """The first ``sizes`` words of each line, or their low 32 bits."""
         ends = np.concatenate(([0], np.cumsum(sizes)))
-        at = np.repeat(self.starts[chosen] - ends[:-1], sizes) + np.arange(ends[-1])
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(self.keys[at].view(np.int64)))
+        at = np.repeat(self.starts - ends[:-1], sizes) + np.arange(ends[-1])
+        words = self.keys[at]
+        values = words.view(np.int64) if kind is np.int64 else mixed(words).astype(np.uint32).view(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
 
 
-def _over(docs: DataFrame, key: str, text: str, ranks, rows, schema: str) -> DataFrame:
+def _over(docs: DataFrame, key: str, text: str, ranks, rows, schema: str, wanted=None) -> DataFrame:
     """``rows(ids, sets)`` as arrays, for every batch of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            out = rows(ids, LineSets(batch.column(1).to_pylist(), ranks.value))
+            some = None if wanted is None else (lambda doc, number: wanted(ids[doc], number))
+            out = rows(ids, LineSets(batch.column(1).to_pylist(), ranks.value, some))
             yield pa.RecordBatch.from_arrays(out, [x.split()[0] for x in schema.split(", ")])
 
     return _keyed(docs, key, text).mapInArrow(run, schema)
 
 
-def first_lines(docs: DataFrame, ranks, key: str, text: str, similarity: float) -> DataFrame:
-    """One row for each distinct set: its first line, size, prefix, and whether it has others."""
+def all_lines(docs: DataFrame, ranks, key: str, text: str, similarity: float) -> DataFrame:
+    """(sid, doc, line, n, sig, prefix) of every line with a word."""
 
     def rows(ids, sets):
-        sid, first, count = np.unique(sets.sid, return_index=True, return_counts=True)
-        # np.unique gives the first by position; rows of a batch need not be in key order.
-        order = np.lexsort((sets.number, ids[sets.doc] if len(sets.doc) else sets.doc, sets.sid))
-        first = order[np.searchsorted(sets.sid[order], sid)]
-        n = sets.n[first]
-        prefix = np.where(n > 4, n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1, 0)
-        return [pa.array(sid.view(np.int64)), pa.array(ids[sets.doc[first]], pa.int64()), pa.array(sets.number[first], pa.int32()), pa.array(n, pa.int32()), sets.lists(first, prefix), pa.array(count > 1)]
+        prefix = np.where(sets.n > 4, sets.n - np.ceil(similarity * sets.n - 1e-9).astype(np.int64) + 1, 0)
+        return [pa.array(sets.sid.view(np.int64)), pa.array(ids[sets.doc], pa.int64()), pa.array(sets.number, pa.int32()), pa.array(sets.n, pa.int32()), pa.array(sets.sig.view(np.int64)), sets.lists(prefix, np.int32)]
 
-    found = _over(docs, key, text, ranks, rows, "sid long, doc long, line int, n int, prefix array<long>, more boolean")
-    least = F.min(F.struct("doc", "line", "n", "prefix"))
-    merged = found.groupBy("sid").agg(least.alias("f"), (F.bool_or("more") | (F.count(F.lit(1)) > 1)).alias("more"))
-    return merged.select("sid", "f.*", "more")
+    return _over(docs, key, text, ranks, rows, "sid long, doc long, line int, n int, sig long, prefix array<int>")
 
 
-def shared_prefixes(firsts: DataFrame, bits) -> DataFrame:
-    """(w, pos, sid, n, doc, line): prefix words that more than one set may have."""
+def needed(n_a: Column, n_b: Column, similarity: float) -> Column:
+    """Least overlap of two sets that reach the similarity."""
+    return F.ceil(F.lit(similarity / (1 + similarity)) * (n_a + n_b) - 1e-9)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            prefix = batch.column(4)
-            sizes = prefix.value_lengths().to_numpy(zero_copy_only=False)
-            words = prefix.flatten().to_numpy(zero_copy_only=False)
-            row = np.repeat(np.arange(len(sizes)), sizes)
-            pos = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            keep = passed(bits.value, mixed(words.view(U)))
-            row = pa.array(row[keep])
-            yield pa.RecordBatch.from_arrays([pa.array(words[keep]), pa.array(pos[keep].astype(np.int32)), batch.column(0).take(row), batch.column(3).take(row), batch.column(1).take(row), batch.column(2).take(row)], ["w", "pos", "sid", "n", "doc", "line"])
 
-    return firsts.where("n > 4").select("sid", "doc", "line", "n", "prefix").mapInArrow(run, "w long, pos int, sid long, n int, doc long, line int")
+def may_match(a: str, b: str, similarity: float) -> Column:
+    """``a`` is earlier, and length, position and signature leave room; at the first word that two sets share."""
+    na, nb, pa_, pb = (F.col(f"{s}.{c}") for c in ("n", "pos") for s in (a, b))
+    short, long, least = F.least(na, nb), F.greatest(na, nb), needed(na, nb, similarity)
+    earlier = (F.col(f"{a}.doc") < F.col(f"{b}.doc")) | ((F.col(f"{a}.doc") == F.col(f"{b}.doc")) & (F.col(f"{a}.line") < F.col(f"{b}.line")))
+    differ = F.bit_count(F.col(f"{a}.sig").bitwiseXOR(F.col(f"{b}.sig")))
+    return earlier & (short >= F.ceil(F.lit(similarity) * long - 1e-9)) & (1 + F.least(na - pa_ - 1, nb - pb - 1) >= least) & (differ <= na + nb - 2 * least)
 
 
-def repeated_words(firsts: DataFrame) -> list[np.ndarray]:
-    """A bitmap of the prefix words of more than one set."""
+def _pair() -> list[Column]:
+    return [F.col(n).alias(s) for n, s in (("a.doc", "src_doc"), ("a.line", "src_line"), ("b.doc", "doc"), ("b.line", "line"))]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words, counts = np.unique(batch.column(0).flatten().to_numpy(zero_copy_only=False), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(mixed(words.view(U)).view(np.int64)), pa.array(counts > 1)], ["v", "more"])
 
-    rows = firsts.where("n > 4").select("prefix").mapInArrow(run, "v long, more boolean")
-    return bitmap(rows.groupBy("v").agg((F.bool_or("more") | (F.count(F.lit(1)) > 1)).alias("more")).where("more"), "true")
+WIDE = 8
 
 
-def needed(n_a: Column, n_b: Column, similarity: float) -> Column:
-    """Least overlap of two sets that reach the similarity."""
-    return F.ceil(F.lit(similarity / (1 + similarity)) * (n_a + n_b) - 1e-9)
+def wide_signatures(sets: LineSets) -> np.ndarray:
+    """(lines, WIDE): 64 * WIDE parity bits of each set."""
+    slot = mixed(sets.keys + U(5))
+    row = np.repeat(np.arange(len(sets.n)), sets.n)
+    bits = np.bincount(row * (64 * WIDE) + (slot % U(64 * WIDE)).astype(np.int64), minlength=len(sets.n) * 64 * WIDE) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view("<i8").reshape(len(sets.n), WIDE)
 
 
-def may_match(a: str, b: str, similarity: float) -> Column:
-    """Length and position filters, at the first word that two sets share."""
-    na, nb, pa_, pb = (F.col(f"{s}.{c}") for c in ("n", "pos") for s in (a, b))
-    short, long = F.least(na, nb), F.greatest(na, nb)
-    return (short >= F.ceil(F.lit(similarity) * long - 1e-9)) & (1 + F.least(na - pa_ - 1, nb - pb - 1) >= needed(na, nb, similarity))
+def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (doc, line, src_doc, src_line) that are similar enough, by the whole sets."""
+    b, a = sets.select("doc", "line", F.col("words").alias("wb")), sets.select(F.col("doc").alias("src_doc"), F.col("line").alias("src_line"), F.col("words").alias("wa"))
+    both = pairs.join(b, ["doc", "line"]).join(a, ["src_doc", "src_line"])
+    hit = F.size(F.array_intersect("wa", "wb")) >= needed(F.size("wa"), F.size("wb"), similarity)
+    return both.where(hit).groupBy("doc", "line").agg(F.min(F.struct("src_doc", "src_line")).alias("s")).select("doc", "line", "s.*")
 
 
 def verified(docs: DataFrame, ranks, pairs: DataFrame, key: str, text: str, similarity: float) -> DataFrame:
-    """(sid, src_doc, src_line): later sets of the pairs that are similar enough, with the earliest such source."""
+    """(doc, line, src_doc, src_line): every later line of the pairs with a similar earlier one.
+
+    Pairs pass a wider signature before any set is moved.  One pair decides, so each
+    line's likeliest is verified first; only lines that it leaves open have all their
+    pairs verified.
+    """
     pairs = durable(pairs.distinct())
-    sides = pairs.select(F.col("a").alias("v")).unionByName(pairs.select(F.col("b").alias("v")))
-    bits = docs.sparkSession.sparkContext.broadcast(bitmap(sides, "true")[0])
+    sides = pairs.select("doc", "line").unionByName(pairs.select(F.col("src_doc").alias("doc"), F.col("src_line").alias("line"))).distinct()
+    place = F.col("doc").bitwiseXOR(F.shiftleft(F.col("line").cast("bigint"), 16))
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(sides.select(place.alias("v")), "true")[0])
+    marks = [f"s{k}" for k in range(WIDE)]
 
     def rows(ids, sets):
-        sid, first = np.unique(sets.sid, return_index=True)
-        first = first[passed(bits.value, sid)] if len(sid) else first
-        return [pa.array(sets.sid[first].view(np.int64)), sets.lists(first, sets.n[first])]
+        wide = wide_signatures(sets)
+        return [pa.array(ids[sets.doc], pa.int64()), pa.array(sets.number, pa.int32()), pa.array(sets.n, pa.int32()), *(pa.array(np.ascontiguousarray(wide[:, k])) for k in range(WIDE)), sets.lists(sets.n)]
 
-    found = _over(docs, key, text, ranks, rows, "s long, words array<long>")
-    sets = durable(found.join(sides.select(F.col("v").alias("s")).distinct(), "s", "left_semi").dropDuplicates(["s"]))
-    both = pairs.join(sets.select(F.col("s").alias("a"), F.col("words").alias("wa")), "a").join(sets.select(F.col("s").alias("b"), F.col("words").alias("wb")), "b")
-    hit = F.size(F.array_intersect("wa", "wb")) >= needed(F.size("wa"), F.size("wb"), similarity)
-    return both.where(hit).groupBy(F.col("b").alias("sid")).agg(F.min(F.struct("src_doc", "src_line")).alias("s")).select("sid", "s.*")
+    def wanted(doc, number):
+        return passed(bits.value, doc ^ (number << 16))
+
+    schema = ", ".join(["doc long", "line int", "n int", *(f"{m} long" for m in marks), "words array<long>"])
+    sets = durable(_over(docs, key, text, ranks, rows, schema, wanted))
+    b, a = sets.drop("words"), sets.select(F.col("doc").alias("src_doc"), F.col("line").alias("src_line"), F.col("n").alias("src_n"), *(F.col(m).alias(f"src_{m}") for m in marks))
+    differ = sum((F.bit_count(F.col(m).bitwiseXOR(F.col(f"src_{m}"))) for m in marks), F.lit(0))
+    room = F.col("n") + F.col("src_n") - 2 * needed(F.col("n"), F.col("src_n"), similarity)
+    near = pairs.join(b, ["doc", "line"]).join(a, ["src_doc", "src_line"]).withColumn("differ", differ)
+    near = durable(near.where(F.col("differ") <= room).select("doc", "line", "src_doc", "src_line", "differ"))
+    likeliest = near.groupBy("doc", "line").agg(F.min(F.struct("differ", "src_doc", "src_line")).alias("s")).select("doc", "line", "s.src_doc", "s.src_line")
+    found = durable(similar(likeliest, sets, similarity))
+    rest = durable(near.drop("differ").join(found.select("doc", "line"), ["doc", "line"], "left_anti").join(likeliest, ["doc", "line", "src_doc", "src_line"], "left_anti"))
+    return found if rest.isEmpty() else found.unionByName(similar(rest, sets, similarity))
 
 
 def out_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8) -> DataFrame:
     """(doc, line, src_doc, src_line): every line that goes, and an earlier line that it is similar to."""
     spark = docs.sparkSession
     ranks = spark.sparkContext.broadcast(rarity(docs, key, text))
-    firsts = durable(first_lines(docs, ranks, key, text, similarity))
-    words = shared_prefixes(firsts, spark.sparkContext.broadcast(repeated_words(firsts)[0]))
-    by_word = Window.partitionBy("w").orderBy("doc", "line", "sid")
-    me = F.struct("pos", "sid", "n", "doc", "line")
-    beside = words.select(me.alias("b"), F.first(me).over(by_word).alias("lead"), F.lag(me).over(by_word).alias("prev"))
-    beside = beside.select("b", F.explode(F.array_distinct(F.array("lead", "prev"))).alias("a")).where("a.sid <> b.sid").where(may_match("a", "b", similarity))
-    pair = (F.col("a.sid").alias("a"), F.col("b.sid").alias("b"), F.col("a.doc").alias("src_doc"), F.col("a.line").alias("src_line"))
-    out = durable(verified(docs, ranks, beside.select(*pair), key, text, similarity))
-    left = words.join(out.select("sid"), "sid", "left_anti")
-    earlier = (F.col("a.doc") < F.col("b.doc")) | ((F.col("a.doc") == F.col("b.doc")) & (F.col("a.line") < F.col("b.line")))
-    rest = words.alias("a").join(left.alias("b"), (F.col("a.w") == F.col("b.w")) & earlier & may_match("a", "b", similarity))
-    out = out.unionByName(verified(docs, ranks, rest.select(*pair), key, text, similarity))
-    judged = firsts.where("more").select("sid", "doc", "line").join(out, "sid", "full")
-    judged = durable(judged.select(F.col("sid").alias("s"), F.col("doc").alias("f_doc"), F.col("line").alias("f_line"), "src_doc", "src_line"))
-    bits = spark.sparkContext.broadcast(bitmap(judged.select(F.col("s").alias("v")), "true")[0])
-
-    def rows(ids, sets):
-        at = np.flatnonzero(passed(bits.value, sets.sid)) if len(sets.sid) else sets.doc
-        return [pa.array(sets.sid[at].view(np.int64)), pa.array(ids[sets.doc[at]], pa.int64()), pa.array(sets.number[at], pa.int32())]
-
-    lines = _over(docs, key, text, ranks, rows, "s long, doc long, line int").join(judged, "s")
+    lines = durable(all_lines(docs, ranks, key, text, similarity))
+    least = F.min(F.struct("doc", "line", "n", "sig", "prefix"))
+    firsts = durable(lines.groupBy("sid").agg(least.alias("f"), F.count(F.lit(1)).alias("copies")).select("sid", "f.*", "copies"))
+
+    def spread(sets: DataFrame, prefix: Column, *more: str) -> DataFrame:
+        return sets.where("n > 4").select(F.posexplode(prefix).alias("pos", "w"), "doc", "line", "n", "sig", *more)
+
+    # First round: the earliest and the previous line with the same rarest words.
+    by_word = Window.partitionBy("w").orderBy("doc", "line")
+    me = F.struct("doc", "line", "n", "sig", "pos")
+    beside = spread(firsts, F.slice("prefix", 1, 3)).select(me.alias("b"), F.first(me).over(by_word).alias("lead"), F.lag(me).over(by_word).alias("prev"))
+    beside = beside.select("b", F.explode(F.array("lead", "prev")).alias("a")).where(may_match("a", "b", similarity))
+    out = durable(verified(docs, ranks, beside.select(*_pair()), key, text, similarity))
+    # Second round: lines not yet out against all earlier ones; both sides are one plan, so its exchange is used twice.
+    gone = out.select("doc", "line", F.lit(1).alias("_gone"))
+    words = spread(firsts.join(gone, ["doc", "line"], "left").withColumn("gone", F.coalesce("_gone", F.lit(0))), F.col("prefix"), "gone")
+    # Said with columns of both sides, lest it be pushed below one side's exchange: no line that is out is a ``b``.
+    open_ = F.col("a.gone") + F.col("b.gone") * (1 << 20) <= F.col("a.n") + 1
+    rest = words.alias("a").join(words.alias("b"), (F.col("a.w") == F.col("b.w")) & open_ & may_match("a", "b", similarity))
+    out = out.unionByName(verified(docs, ranks, rest.select(*_pair()), key, text, similarity))
+    # Every line of a set goes but its first, and that too if an earlier line is similar.
+    judged = firsts.select("sid", F.col("doc").alias("f_doc"), F.col("line").alias("f_line"), "copies").join(out.select(F.col("doc").alias("f_doc"), F.col("line").alias("f_line"), "src_doc", "src_line"), ["f_doc", "f_line"], "left")
+    judged = durable(judged.where("copies > 1 OR src_doc IS NOT NULL"))
+    met = lines.select("sid", "doc", "line").join(judged, "sid")
     later = (F.col("f_doc") < F.col("doc")) | ((F.col("f_doc") == F.col("doc")) & (F.col("f_line") < F.col("line")))
     source = lambda c: F.when(F.col("src_doc").isNotNull(), F.col(f"src_{c}")).otherwise(F.col(f"f_{c}")).alias(f"src_{c}")
-    return lines.where(F.col("src_doc").isNotNull() | later).select("doc", "line", source("doc"), source("line"))
+    return met.where(F.col("src_doc").isNotNull() | later).select("doc", "line", source("doc"), source("line"))
 
 
 def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8) -> DataFrame:
