@@ -22,7 +22,7 @@ def _parted(df: DataFrame, order: list[Column]) -> DataFrame:
     return durable(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
 
 
-def _shifted(sizes, width: int) -> Column:
+def _shifted(sizes) -> Column:
     """Per partition: the value before it, as one bounded literal map (an entry a partition)."""
     return F.create_map(*(F.lit(x) for pair in sizes for x in pair)) if sizes else F.create_map(F.lit(0), F.lit(0))
 
@@ -35,26 +35,34 @@ def with_offset(df: DataFrame, order: list[Column], name: str) -> DataFrame:
         sizes.append((row["__part"], total))
         total += row["count"]
     inside = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
-    return parted.withColumn(name, inside.cast("bigint") + F.coalesce(_shifted(sizes, 1)[F.col("__part")], F.lit(0)).cast("bigint")).drop("__part")
+    return parted.withColumn(name, inside.cast("bigint") + F.coalesce(_shifted(sizes)[F.col("__part")], F.lit(0)).cast("bigint")).drop("__part")
 
 
-def running(df: DataFrame, order: list[Column], expr: Column, how: str, name: str) -> DataFrame:
-    """``df`` with a running sum, product, min or max of ``expr``, null where ``expr`` is null.
+def running(df: DataFrame, order: list[Column], expr: Column, how: str, name: str, back: list[Column] | None = None) -> DataFrame:
+    """``df`` with a running sum, product, min or max of ``expr``, null where ``expr`` is null; or its last value so far.
 
-    Totals of whole partitions come first (one row each), then windows inside partitions.
+    Totals of whole partitions come first (one row each), then windows inside
+    partitions.  For last values ``back`` is the order reversed.
     """
     parted = _parted(df.withColumn("__x", expr), order)
-    agg = {"sum": F.sum, "prod": F.product, "min": F.min, "max": F.max}[how]
-    join = {"sum": lambda a, b: a + b, "prod": lambda a, b: a * b, "min": min, "max": max}[how]
+    agg = {"sum": F.sum, "prod": F.product, "min": F.min, "max": F.max, "last": lambda c: F.last(c, ignorenulls=True)}[how]
+    join = {"sum": lambda a, b: a + b, "prod": lambda a, b: a * b, "min": min, "max": max, "last": lambda a, b: b}[how]
+    if how == "last":
+        ends = parted.where(F.col("__x").isNotNull()).withColumn("__r", F.row_number().over(Window.partitionBy("__part").orderBy(*back))).where("__r = 1")
+        totals = parted.select("__part").distinct().join(ends.select("__part", F.col("__x").alias("t")), "__part", "left")
+    else:
+        totals = parted.groupBy("__part").agg(agg("__x").alias("t"))
     before, total = [], None
-    for row in parted.groupBy("__part").agg(agg("__x").alias("t")).orderBy("__part").collect():
+    for row in totals.orderBy("__part").collect():
         if total is not None:
             before.append((row["__part"], total))
         total = row["t"] if total is None else total if row["t"] is None else join(total, row["t"])
     here = agg("__x").over(Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    both = here
     if before:
-        earlier = _shifted(before, 1)[F.col("__part")]
-        both = {"sum": here + F.coalesce(earlier, F.lit(0)), "prod": here * F.coalesce(earlier, F.lit(1)), "min": F.least(here, earlier), "max": F.greatest(here, earlier)}[how]
-    else:
-        both = here
-    return parted.withColumn(name, F.when(F.col("__x").isNotNull(), both)).drop("__part", "__x")
+        earlier = _shifted(before)[F.col("__part")]
+        both = {
+            "sum": lambda: here + F.coalesce(earlier, F.lit(0)), "prod": lambda: here * F.coalesce(earlier, F.lit(1)),
+            "min": lambda: F.least(here, earlier), "max": lambda: F.greatest(here, earlier), "last": lambda: F.coalesce(here, earlier),
+        }[how]()
+    return parted.withColumn(name, both if how == "last" else F.when(F.col("__x").isNotNull(), both)).drop("__part", "__x")

@@ -9,12 +9,45 @@ from pyspark.sql import functions as F
 from ..functions import aggregates, logic
 from ..functions.typed import V, number
 from ..plans.frame import DataFrame, Series
+from ..plans.rows import fresh
+
+
+def _global_rank(x: Series, method: str, na_option: str, ascending: bool, pct: bool) -> Series:
+    """Ranks over all rows from counts of distinct values.
+
+    Values are counted before the shuffle; running counts over the ordered values come
+    from partition totals; ranks go back by a join on the value.
+    """
+    from .offsets import running, with_offset
+
+    null = logic.isnull(x.v)
+    v, n, below, dense = fresh(), fresh(), fresh(), fresh()
+    counts = x.rows.sdf.where(~null).groupBy(x.expr.alias(v)).agg(F.count(F.lit(1)).alias(n))
+    order = [F.col(v).asc() if ascending else F.col(v).desc()]
+    table = running(with_offset(counts, order, dense), [F.col(dense)], F.col(n), "sum", below)
+    table = table.select(v, n, (F.col(below) - F.col(n)).alias(below), dense)
+    total, kinds = x.rows.sdf.agg(F.count(F.when(~null, 1)), F.count_distinct(F.when(~null, x.expr))).first()
+    nulls = x.rows.sdf.where(null).count() if na_option != "keep" else 0
+    x.rows.sdf = x.rows.sdf.join(table, x.expr == F.col(v), "left")
+    low, size = F.col(below) + 1 + (nulls if na_option == "top" else 0), F.col(n)
+    span = {"min": lambda lo, k: lo, "max": lambda lo, k: lo + k - 1, "average": lambda lo, k: lo + (k - 1) / 2.0}
+    top = kinds if method == "dense" else total + nulls
+    if method == "dense":
+        r = F.col(dense) + 1 + (1 if na_option == "top" and nulls else 0)
+        at_null = F.lit(1 if na_option == "top" else kinds + 1)
+        top += bool(nulls)
+    else:
+        r, at_null = span[method](low, size), span[method](F.lit(1 if na_option == "top" else total + 1), F.lit(nulls))
+    out = F.when(null, F.lit(None) if na_option == "keep" else at_null).otherwise(r).cast("double")
+    return x._new(out / F.lit(float(top or 1)) if pct else out)
 
 
 def rank(s: Series, by: list[Column], method="average", na_option="keep", ascending=True, pct=False) -> Series:
     """Positions among the values, ties by method; always floating."""
     x = s._stored()
     null = logic.isnull(x.v)
+    if not by and method != "first":
+        return _global_rank(x, method, na_option, ascending, pct)
     key = x.expr.asc_nulls_last() if ascending else x.expr.desc_nulls_last()
     first = (F.when(null, 0).otherwise(1) if na_option == "top" else F.when(null, 1).otherwise(0)).asc()
     w = Window.partitionBy(*by).orderBy(first, key)
@@ -37,7 +70,7 @@ class Rolling:
     def __init__(self, frame: DataFrame, window, min_periods=None, closed="right", on=None, by=(), series=False):
         self.frame, self.series = frame, series
         rows = frame.rows
-        self.by = list(by)
+        self.by, self.reach = list(by), None
         if window is None:
             self.least = 1 if min_periods is None else min_periods
             self.spec = rows.window(self.by).rowsBetween(Window.unboundedPreceding, 0)
@@ -45,6 +78,7 @@ class Rolling:
             self.least = window if min_periods is None else min_periods
             n = window
             low, high = {"right": (-(n - 1), 0), "left": (-n, -1), "both": (-n, 0), "neither": (-(n - 1), -1)}[closed or "right"]
+            self.frame_, self.reach = (low, high), n
             self.spec = rows.window(self.by).rowsBetween(low, high)
         else:
             self.least = 1 if min_periods is None else min_periods
@@ -71,10 +105,13 @@ class Rolling:
         name = aggregates.by_name(how)
         found = F.sum(number(v)) if name == "sum" else aggregates.aggregate(name, v)
         n = F.count(x.expr)
-        kept = F.when(n.over(self.spec) >= self.least, found.over(self.spec))
-        if name == "count":
-            kept = n.over(self.spec)
-        return F.col(self.frame.rows.put(kept)[0])
+
+        def kept(w):
+            return n.over(w) if name == "count" else F.when(n.over(w) >= self.least, found.over(w))
+
+        if self.reach is not None and not self.by:
+            return F.col(self.frame.rows.near(lambda w: kept(w.rowsBetween(*self.frame_)), self.reach, 0))
+        return F.col(self.frame.rows.put(kept(self.spec))[0])
 
 
 for _n in ("count", "sum", "mean", "var", "std", "max", "min"):

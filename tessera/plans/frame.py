@@ -508,8 +508,9 @@ class Series(Common):
         x = self._stored().expr
         if not periods:
             return self._new(x)
-        w = self.rows.window()
-        return self._window(F.lag(x, periods).over(w) if periods > 0 else F.lead(x, -periods).over(w))
+        if periods > 0:
+            return self._new(F.col(self.rows.near(lambda w: F.lag(x, periods).over(w), periods, 0)))
+        return self._new(F.col(self.rows.near(lambda w: F.lead(x, -periods).over(w), 0, -periods)))
 
     def diff(self, periods: int = 1):
         x = self._stored()
@@ -520,17 +521,27 @@ class Series(Common):
         x = self._stored()
         return x / x.shift(periods) - 1
 
+    def _last(self, limit: int | None, back: bool) -> Series:
+        """The nearest value before (or after) that is not null, itself included."""
+        x = self._stored().expr
+        if limit:
+            frame = (0, limit) if back else (-limit, 0)
+            pick = F.first if back else F.last
+            return self._new(F.col(self.rows.near(lambda w: pick(x, ignorenulls=True).over(w.rowsBetween(*frame)), 0 if back else limit, limit if back else 0)))
+        self.rows.offset()
+        from ..operators.offsets import running
+
+        name = fresh()
+        self.rows.sdf = running(self.rows.sdf, self.rows.sort_columns(back), x, "last", name, self.rows.sort_columns(not back))
+        return self._new(F.col(name))
+
     def ffill(self, limit: int | None = None):
-        x = self._stored()
-        w = self.rows.window().rowsBetween(-limit if limit else Window.unboundedPreceding, 0)
-        return x._window(F.last(x.expr, ignorenulls=True).over(w))
+        return self._last(limit, False)
 
     pad = ffill
 
     def bfill(self, limit: int | None = None):
-        x = self._stored()
-        w = self.rows.window().rowsBetween(0, limit if limit else Window.unboundedFollowing)
-        return x._window(F.first(x.expr, ignorenulls=True).over(w))
+        return self._last(limit, True)
 
     def interpolate(self, method: str = "linear"):
         from ..operators.windows import interpolate

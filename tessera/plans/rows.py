@@ -9,10 +9,12 @@ list of columns, carried along only by name: nothing is sorted until a verb need
 from __future__ import annotations
 
 import itertools
+from collections.abc import Callable
 
 from pyspark.sql import Column, Window
 from pyspark.sql import DataFrame as SparkFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from ..functions.typed import V
 
@@ -25,7 +27,7 @@ def fresh(prefix: str = "c") -> str:
 
 class Rows:
     def __init__(self, sdf: SparkFrame, index: list[str], names: list, order: list[tuple[str, bool]] | None = None):
-        self.sdf, self.index, self.names, self.order = sdf, index, names, list(order or [])
+        self.sdf, self.index, self.names, self.order, self.positions = sdf, index, names, list(order or []), ""
 
     def put(self, *exprs: Column) -> list[str]:
         """Columns for expressions; later expressions may build on them (windows may not nest)."""
@@ -67,7 +69,23 @@ class Rows:
         """
         from ..operators.offsets import with_offset
 
-        name = fresh("pos")
-        self.sdf = with_offset(self.sdf, self.sort_columns(), name)
-        self.order = [(name, True)]
+        if self.order and self.order[0] == (self.positions, True):
+            return self.positions
+        self.positions = fresh("pos")
+        self.sdf = with_offset(self.sdf, self.sort_columns(), self.positions)
+        self.order = [(self.positions, True)]
+        return self.positions
+
+    def near(self, make: Callable[[WindowSpec], Column], before: int, after: int, width: int = 1 << 20) -> str:
+        """A window column that looks at most ``before`` rows back and ``after`` rows on, over the global order.
+
+        Positions fall into buckets of ``width`` rows; rows near a border are also given
+        to the neighbour as context, so each bucket is windowed alone and no task sees
+        more than ``width`` rows and their context.
+        """
+        pos, bucket, name = F.col(self.offset()), fresh("b"), fresh()
+        held = F.explode(F.sequence(F.floor((pos - after) / width), F.floor((pos + before) / width)))
+        spread = self.sdf.withColumn(bucket, held)
+        made = spread.withColumn(name, make(Window.partitionBy(bucket).orderBy(pos)))
+        self.sdf = made.where(F.col(bucket) == F.floor(pos / width)).drop(bucket)
         return name
