@@ -5,15 +5,15 @@ A line's set is its distinct words.  Words are ordered by rarity over all docume
 their counts, and the rank replaces those bits, so that the key's own order is a total
 order of words, rare ones first.  Two sets with Jaccard similarity ``t`` or more share
 a word among the first ``n - ceil(t n) + 1`` of each; length and position bound the
-overlap further, as does a 64-bit parity signature; what is left is verified on the
+overlap further, as does a 128-bit parity signature; what is left is verified on the
 whole sets.  A line goes if an
 earlier line (by document key, then line number) is that similar to it, whether or
 not that one stays.
 
 Equal sets are one row, their first line.  Lines with four words or fewer match equal
 sets only (at ``t`` = 0.8).  A first round holds each line against the earliest and
-the previous line with its rarest words, so groups of copies cost a number of pairs
-linear in their size; a second one holds the lines not yet out against all earlier
+the previous lines that share a sketch of it, so groups of copies cost a number of
+pairs linear in their size; a second one holds the lines not yet out against all earlier
 ones.  Only kept pairs of keys are shuffled, never pairs of texts.
 
 Null text has no lines.  Lines without a word are never out.  Rows with null key stay
@@ -80,7 +80,8 @@ class LineSets:
         words = [w for ws in lines for w in ws]
         count = len(full)
         if not count:
-            self.n, self.sid, self.sig, self.starts, self.keys = np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, U)
+            self.n, self.starts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            self.sid = self.sig = self.sig2 = self.keys = np.zeros(0, U)
             return
         h = word_hashes(words)
         keys = (ranks[(h >> U(48)).astype(np.int64)] << U(48)) | (h & LOW48)
@@ -95,8 +96,19 @@ class LineSets:
         self.starts = np.cumsum(self.n) - self.n
         even = mixed(self.keys)
         self.sid = mixed(np.add.reduceat(even, self.starts) + self.n.astype(U))
-        #: Parity of the words that fall on each of 64 bits: sets differ in as many words as their signatures in bits, or more.
-        self.sig = np.bitwise_xor.reduceat(U(1) << (even >> U(58)), self.starts)
+        #: Parity of the words that fall on each of 128 bits: sets differ in as many words as their signatures in bits, or more.
+        bit, low = U(1) << (even >> U(58)), even & U(1) == 0
+        self.sig = np.bitwise_xor.reduceat(np.where(low, bit, U(0)), self.starts)
+        self.sig2 = np.bitwise_xor.reduceat(np.where(low, U(0), bit), self.starts)
+
+    def sketch(self, pairs: int = 4) -> np.ndarray:
+        """(lines, pairs): hashes of pairs of least-hash words; lines that are much alike share one, others hardly ever."""
+        out = np.zeros((len(self.n), pairs), np.int32)
+        if len(self.n):
+            for k in range(pairs):
+                a, b = (np.minimum.reduceat(mixed(self.keys + U(2 * k + j + 11)), self.starts) for j in (0, 1))
+                out[:, k] = mixed(a ^ (b << U(1)) + U(k)).astype(np.uint32).view(np.int32)
+        return out
 
     def lists(self, sizes: np.ndarray, kind=np.int64) -> pa.Array:
         """The first ``sizes`` words of each line, or their low 32 bits."""
@@ -121,13 +133,13 @@ def _over(docs: DataFrame, key: str, text: str, ranks, rows, schema: str, wanted
 
 
 def all_lines(docs: DataFrame, ranks, key: str, text: str, similarity: float) -> DataFrame:
-    """(sid, doc, line, n, sig, prefix) of every line with a word."""
+    """(sid, doc, line, n, sig, sig2, prefix, sketch) of every line with a word."""
 
     def rows(ids, sets):
         prefix = np.where(sets.n > 4, sets.n - np.ceil(similarity * sets.n - 1e-9).astype(np.int64) + 1, 0)
-        return [pa.array(sets.sid.view(np.int64)), pa.array(ids[sets.doc], pa.int64()), pa.array(sets.number, pa.int32()), pa.array(sets.n, pa.int32()), pa.array(sets.sig.view(np.int64)), sets.lists(prefix, np.int32)]
+        return [pa.array(sets.sid.view(np.int64)), pa.array(ids[sets.doc], pa.int64()), pa.array(sets.number, pa.int32()), pa.array(sets.n, pa.int32()), pa.array(sets.sig.view(np.int64)), pa.array(sets.sig2.view(np.int64)), sets.lists(prefix, np.int32), pa.FixedSizeListArray.from_arrays(pa.array(sets.sketch().ravel()), 4).cast(pa.list_(pa.int32()))]
 
-    return _over(docs, key, text, ranks, rows, "sid long, doc long, line int, n int, sig long, prefix array<int>")
+    return _over(docs, key, text, ranks, rows, "sid long, doc long, line int, n int, sig long, sig2 long, prefix array<int>, sketch array<int>")
 
 
 def needed(n_a: Column, n_b: Column, similarity: float) -> Column:
@@ -140,7 +152,7 @@ def may_match(a: str, b: str, similarity: float) -> Column:
     na, nb, pa_, pb = (F.col(f"{s}.{c}") for c in ("n", "pos") for s in (a, b))
     short, long, least = F.least(na, nb), F.greatest(na, nb), needed(na, nb, similarity)
     earlier = (F.col(f"{a}.doc") < F.col(f"{b}.doc")) | ((F.col(f"{a}.doc") == F.col(f"{b}.doc")) & (F.col(f"{a}.line") < F.col(f"{b}.line")))
-    differ = F.bit_count(F.col(f"{a}.sig").bitwiseXOR(F.col(f"{b}.sig")))
+    differ = F.bit_count(F.col(f"{a}.sig").bitwiseXOR(F.col(f"{b}.sig"))) + F.bit_count(F.col(f"{a}.sig2").bitwiseXOR(F.col(f"{b}.sig2")))
     return earlier & (short >= F.ceil(F.lit(similarity) * long - 1e-9)) & (1 + F.least(na - pa_ - 1, nb - pb - 1) >= least) & (differ <= na + nb - 2 * least)
 
 
@@ -205,17 +217,17 @@ def out_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", similari
     spark = docs.sparkSession
     ranks = spark.sparkContext.broadcast(rarity(docs, key, text))
     lines = durable(all_lines(docs, ranks, key, text, similarity))
-    least = F.min(F.struct("doc", "line", "n", "sig", "prefix"))
+    least = F.min(F.struct("doc", "line", "n", "sig", "sig2", "prefix", "sketch"))
     firsts = durable(lines.groupBy("sid").agg(least.alias("f"), F.count(F.lit(1)).alias("copies")).select("sid", "f.*", "copies"))
 
     def spread(sets: DataFrame, prefix: Column, *more: str) -> DataFrame:
-        return sets.where("n > 4").select(F.posexplode(prefix).alias("pos", "w"), "doc", "line", "n", "sig", *more)
+        return sets.where("n > 4").select(F.posexplode(prefix).alias("pos", "w"), "doc", "line", "n", "sig", "sig2", *more)
 
-    # First round: the earliest and the previous line with the same rarest words.
+    # First round: the two earliest and the two previous lines with a sketch in common.
     by_word = Window.partitionBy("w").orderBy("doc", "line")
-    me = F.struct("doc", "line", "n", "sig", "pos")
-    beside = spread(firsts, F.slice("prefix", 1, 3)).select(me.alias("b"), F.first(me).over(by_word).alias("lead"), F.lag(me).over(by_word).alias("prev"))
-    beside = beside.select("b", F.explode(F.array("lead", "prev")).alias("a")).where(may_match("a", "b", similarity))
+    me = F.struct("doc", "line", "n", "sig", "sig2", F.lit(0).alias("pos"))
+    beside = spread(firsts, F.col("sketch")).select(me.alias("b"), F.array(F.first(me).over(by_word), F.nth_value(me, 2).over(by_word), F.lag(me).over(by_word), F.lag(me, 2).over(by_word)).alias("near"))
+    beside = beside.select("b", F.explode("near").alias("a")).where("a IS NOT NULL").where(may_match("a", "b", similarity))
     out = durable(verified(docs, ranks, beside.select(*_pair()), key, text, similarity))
     # Second round: lines not yet out against all earlier ones; both sides are one plan, so its exchange is used twice.
     gone = out.select("doc", "line", F.lit(1).alias("_gone"))
