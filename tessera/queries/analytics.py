@@ -165,7 +165,7 @@ def _(t):
     from ..ml import LabelEncoder
 
     f = t.customer
-    return DataFrame(f.rows, [("c_custkey", f["c_custkey"].expr), ("code", LabelEncoder().fit(f["c_mktsegment"]).transform(f["c_mktsegment"]).iloc_column(0).expr)])
+    return DataFrame(f.rows, [("c_custkey", f["c_custkey"].expr), ("code", LabelEncoder().fit(f["c_mktsegment"]).transform(f["c_mktsegment"]).iloc_column(0).expr.cast("bigint"))])
 
 
 @query("ml_metrics", "WITH p AS (SELECT l_quantity > 25 AS y, l_extendedprice > 30000 AS q, l_quantity AS a, l_extendedprice / 1000 AS b FROM lineitem) SELECT round(avg((y = q)::INT), 8) AS accuracy, round(count(*) FILTER (y AND q) / count(*) FILTER (y), 8) AS recall, round(count(*) FILTER (y AND q) / count(*) FILTER (q), 8) AS precision_v, round(avg((a - b) ** 2), 4) AS mse, round(avg(abs(a - b)), 6) AS mae FROM p")

@@ -122,7 +122,7 @@ def _(t):
     return concat([n, r], axis=1).reset_index(names=["n_nationkey"])
 
 
-@query("align_add", "SELECT n_nationkey AS k, n_regionkey + r_regionkey * 10 AS v FROM nation FULL JOIN region ON n_nationkey = r_regionkey")
+@query("align_add", "SELECT n_nationkey AS k, (n_regionkey + r_regionkey * 10)::BIGINT AS v FROM nation FULL JOIN region ON n_nationkey = r_regionkey")
 def _(t):
     n, r = t.nation.set_index("n_nationkey"), t.region.assign(v=col("r_regionkey") * 10).set_index("r_regionkey")
     total = n["n_regionkey"] + r["v"]
@@ -136,7 +136,7 @@ def _(t):
     return DataFrame(f.rows, [("event_id", f["event_id"].expr), ("v", x.combine_first(f["user_id"].astype("float64")).expr)])
 
 
-@query("reindex", "SELECT k, n_name FROM (VALUES (3), (99), (1)) v(k) LEFT JOIN nation ON n_nationkey = k")
+@query("reindex", "SELECT k::BIGINT AS k, n_name FROM (VALUES (3), (99), (1)) v(k) LEFT JOIN nation ON n_nationkey = k")
 def _(t):
     return t.indexed("nation").reindex(index=[3, 99, 1])[["n_name"]].reset_index(names=["k"])
 
@@ -152,7 +152,7 @@ def _(t):
     return f.rows.sdf.agg(a("sum").alias("sum_v"), a("mean", 6).alias("mean_v"), a("min").alias("min_v"), a("max").alias("max_v"), a("count").alias("count_v"), aggregates.aggregate("nunique", f["c_nationkey"].v).alias("nunique_v"), a("std", 4).alias("std_v"), a("var", 2).alias("var_v"), a("popvar", 2).alias("popvar_v"), a("median").alias("median_v"), F.round(aggregates.quantile(x, 0.3), 6).alias("q30_v"), aggregates.aggregate("all", f["c_custkey"].v).alias("all_v"), a("any").alias("any_v"), a("skew", 6).alias("skew_v"), a("kurt", 6).alias("kurt_v"))
 
 
-@query("empty_aggregates", "SELECT 0.0 AS sum_v, NULL::DOUBLE AS mean_v, 0 AS count_v, TRUE AS all_v, FALSE AS any_v, 1.0 AS prod_v")
+@query("empty_aggregates", "SELECT 0.0::DOUBLE AS sum_v, NULL::DOUBLE AS mean_v, 0::BIGINT AS count_v, TRUE AS all_v, FALSE AS any_v, 1.0::DOUBLE AS prod_v")
 def _(t):
     f = t.customer
     f = f[f["c_custkey"] < 0]
@@ -215,7 +215,7 @@ def _(t):
 def _(t):
     f = t.nation
     v, order = f["n_name"].v, [F.col("n_nationkey")]
-    return f.rows.sdf.groupBy("n_regionkey").agg(F.size(aggregates.array_agg(v, order)).alias("n"), aggregates.string_agg(v, ",", order).alias("names"))
+    return f.rows.sdf.groupBy("n_regionkey").agg(F.size(aggregates.array_agg(v, order)).cast("bigint").alias("n"), aggregates.string_agg(v, ",", order).alias("names"))
 
 
 @query("approx_top_count")
@@ -297,7 +297,7 @@ def _(t):
     return t.lineitem.melt(["l_orderkey", "l_linenumber"], ["l_discount", "l_tax"])
 
 
-@query("stack_unstack", "SELECT n_nationkey, n_regionkey AS a, n_regionkey * 2 AS b FROM nation")
+@query("stack_unstack", "SELECT n_nationkey, n_regionkey::BIGINT AS a, (n_regionkey * 2)::BIGINT AS b FROM nation")
 def _(t):
     f = t.nation.set_index("n_nationkey")
     f = f.assign(a=f["n_regionkey"], b=f["n_regionkey"] * 2)[["a", "b"]]
@@ -329,7 +329,7 @@ def _(t):
     return crosstab(f["o_orderpriority"], f["o_orderstatus"])[["F", "O"]].rename(columns={"F": "f", "O": "o"}).reset_index(names=["o_orderpriority"])
 
 
-@query("cut", "SELECT c_custkey, CASE WHEN c_acctbal > -1000 AND c_acctbal <= 0 THEN 0 WHEN c_acctbal > 0 AND c_acctbal <= 5000 THEN 1 WHEN c_acctbal > 5000 AND c_acctbal <= 10000 THEN 2 END AS bin FROM customer")
+@query("cut", "SELECT c_custkey, (CASE WHEN c_acctbal > -1000 AND c_acctbal <= 0 THEN 0 WHEN c_acctbal > 0 AND c_acctbal <= 5000 THEN 1 WHEN c_acctbal > 5000 AND c_acctbal <= 10000 THEN 2 END)::BIGINT AS bin FROM customer")
 def _(t):
     f = t.customer
     return DataFrame(f.rows, [("c_custkey", f["c_custkey"].expr), ("bin", cut(f["c_acctbal"], [-1000, 0, 5000, 10000], labels=False).expr)])
@@ -351,7 +351,7 @@ def _(t):
     return t.orders.sample(n=20, random_state=7)[["o_orderkey"]]
 
 
-@query("local_round_trip", "SELECT * FROM (VALUES (1, 'a', 1.5), (2, 'b', NULL), (3, NULL, 2.5)) v(i, s, x)")
+@query("local_round_trip", "SELECT i::BIGINT AS i, s, x::DOUBLE AS x FROM (VALUES (1, 'a', 1.5), (2, 'b', NULL), (3, NULL, 2.5)) v(i, s, x)")
 def _(t):
     return t.session.read_pandas(pd.DataFrame({"i": [1, 2, 3], "s": ["a", "b", None], "x": [1.5, None, 2.5]})).assign(x=lambda d: d["x"].where(d["x"].notna()))
 

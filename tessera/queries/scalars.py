@@ -45,7 +45,7 @@ def _(t):
     return f._new([("l_orderkey", f["l_orderkey"].expr), ("l_linenumber", f["l_linenumber"].expr), ("ln_kind", kind(numeric.ln(d))), ("log10_kind", kind(numeric.log10(d))), ("log10_v", F.round(F.when(d.col == 0, 0.0).otherwise(numeric.log10(d)), 6))])
 
 
-@query("arithmetic", "SELECT l_orderkey, l_linenumber, round(l_extendedprice + l_quantity, 4) AS add_v, round(l_extendedprice - l_tax, 4) AS sub_v, round(l_extendedprice * (1 - l_discount), 4) AS mul_v, round(l_extendedprice / l_quantity, 8) AS div_v, l_orderkey // l_linenumber AS floordiv_v, l_orderkey % 7 AS mod_v, floor(-l_orderkey / 7.0)::BIGINT AS negfloor_v, ((-l_orderkey % 7) + 7) % 7 AS negmod_v, l_linenumber * l_linenumber AS pow_v, round(pow(l_quantity, 0.5), 4) AS root_v, round(100 - l_quantity, 4) AS rsub_v, round(l_extendedprice, 1) AS round_v FROM lineitem")
+@query("arithmetic", "SELECT l_orderkey, l_linenumber, round(l_extendedprice + l_quantity, 4) AS add_v, round(l_extendedprice - l_tax, 4) AS sub_v, round(l_extendedprice * (1 - l_discount), 4) AS mul_v, round(l_extendedprice / l_quantity, 8) AS div_v, l_orderkey // l_linenumber AS floordiv_v, l_orderkey % 7 AS mod_v, floor(-l_orderkey / 7.0)::BIGINT AS negfloor_v, ((-l_orderkey % 7) + 7) % 7 AS negmod_v, (l_linenumber * l_linenumber)::BIGINT AS pow_v, round(pow(l_quantity, 0.5), 4) AS root_v, round(100 - l_quantity, 4) AS rsub_v, round(l_extendedprice, 1) AS round_v FROM lineitem")
 def _(t):
     f = t.lineitem
     k, n = f["l_orderkey"], f["l_linenumber"]
@@ -89,7 +89,7 @@ def _(t):
     return DataFrame(f.rows, [("p_partkey", k.expr), ("and_v", (k & 12).expr), ("or_v", (k | 3).expr), ("xor_v", (k ^ 5).expr), ("not_v", (~k).expr)])
 
 
-@query("nulls_and_conditionals", "WITH e AS (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE value END AS x, value, event_type FROM events) SELECT event_id, x IS NULL AS isnull_v, x IS NOT NULL AS notnull_v, coalesce(x, -1) AS fill_v, CASE WHEN x > 10 THEN x END AS where_v, CASE WHEN NOT (x > 10) OR x IS NULL THEN x END AS mask_v, CASE WHEN x IS NULL THEN NULL ELSE least(greatest(x, 5), 50) END AS clip_v, CASE WHEN x > 50 THEN 2 WHEN x > 10 THEN 1 ELSE 0 END AS case_v, CASE event_type WHEN 'click' THEN 'c' WHEN 'view' THEN 'v' ELSE event_type END AS repl_v, CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 END AS map_v, CASE WHEN x IS NULL THEN NULL ELSE greatest(x, 20) END AS max_v, CASE WHEN x IS NULL THEN NULL ELSE least(x, 20) END AS min_v FROM e")
+@query("nulls_and_conditionals", "WITH e AS (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE value END AS x, value, event_type FROM events) SELECT event_id, x IS NULL AS isnull_v, x IS NOT NULL AS notnull_v, coalesce(x, -1) AS fill_v, CASE WHEN x > 10 THEN x END AS where_v, CASE WHEN NOT (x > 10) OR x IS NULL THEN x END AS mask_v, CASE WHEN x IS NULL THEN NULL ELSE least(greatest(x, 5), 50) END AS clip_v, (CASE WHEN x > 50 THEN 2 WHEN x > 10 THEN 1 ELSE 0 END)::BIGINT AS case_v, CASE event_type WHEN 'click' THEN 'c' WHEN 'view' THEN 'v' ELSE event_type END AS repl_v, (CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 END)::BIGINT AS map_v, CASE WHEN x IS NULL THEN NULL ELSE greatest(x, 20) END AS max_v, CASE WHEN x IS NULL THEN NULL ELSE least(x, 20) END AS min_v FROM e")
 def _(t):
     f = t.events
     x = f["value"].mask(f["event_id"] % 5 == 0)
@@ -188,7 +188,7 @@ def _(t):
     f = t.embeddings
     e = f["embedding"]
     cut = e.list[0:4].expr
-    out = {"vec_id": f["vec_id"].expr, "n": e.list.len().expr, "first_v": F.round(e.list[0].expr, 5), "sum4": F.round(nested.array_reduce(cut, "sum"), 4), "mx": F.round(nested.array_reduce(e.expr, "max"), 5), "mn": F.round(nested.array_reduce(e.expr, "min"), 5), "sl": F.size(e.list[2:10].expr), "pos": F.size(F.filter(e.expr, lambda x: x > 0))}
+    out = {"vec_id": f["vec_id"].expr, "n": e.list.len().expr, "first_v": F.round(e.list[0].expr, 5), "sum4": F.round(nested.array_reduce(cut, "sum"), 4), "mx": F.round(nested.array_reduce(e.expr, "max"), 5), "mn": F.round(nested.array_reduce(e.expr, "min"), 5), "sl": F.size(e.list[2:10].expr).cast("bigint"), "pos": F.size(F.filter(e.expr, lambda x: x > 0)).cast("bigint")}
     return f._new(list(out.items()))
 
 
@@ -196,7 +196,7 @@ def _(t):
 def _(t):
     f = t.nation
     a, b = f["n_nationkey"].expr, f["n_regionkey"].expr
-    return f._new([("n_nationkey", a), ("joined", F.array_join(F.array(f["n_name"].expr, b.cast("string")), ":")), ("n", F.size(F.array(a, b))), ("twice", F.aggregate(F.transform(F.array(a, b), lambda x: x * 2), F.lit(0), lambda x, y: x + y).cast("bigint"))])
+    return f._new([("n_nationkey", a), ("joined", F.array_join(F.array(f["n_name"].expr, b.cast("string")), ":")), ("n", F.size(F.array(a, b)).cast("bigint")), ("twice", F.aggregate(F.transform(F.array(a, b), lambda x: x * 2), F.lit(0), lambda x, y: x + y).cast("bigint"))])
 
 
 @query("structs", "SELECT n_nationkey, n_name AS name_v, n_regionkey AS region_v FROM nation")
@@ -239,7 +239,7 @@ def _(t):
     return f._new([("vec_id", f["vec_id"].expr), ("cosine", F.round(vector.cosine(e, q), 5)), ("euclid", F.round(vector.euclidean(e, q), 4)), ("manhattan", F.round(vector.manhattan(e, q), 4))])
 
 
-@query("geo_points", "WITH p AS (SELECT c_custkey, (c_custkey % 360) - 180.0 AS x, (c_custkey % 170) - 85.0 AS y FROM customer) SELECT c_custkey, x, y, round(2 * 6371010 * asin(sqrt(least(1.0, pow(sin(radians(10.0 - y) / 2), 2) + cos(radians(y)) * cos(radians(10.0)) * pow(sin(radians(20.0 - x) / 2), 2)))), 0) AS metres FROM p")
+@query("geo_points", "WITH p AS (SELECT c_custkey, ((c_custkey % 360) - 180.0)::DOUBLE AS x, ((c_custkey % 170) - 85.0)::DOUBLE AS y FROM customer) SELECT c_custkey, x, y, round(2 * 6371010 * asin(sqrt(least(1.0, pow(sin(radians(10.0 - y) / 2), 2) + cos(radians(y)) * cos(radians(10.0)) * pow(sin(radians(20.0 - x) / 2), 2)))), 0) AS metres FROM p")
 def _(t):
     f = t.customer
     k = f["c_custkey"]
@@ -263,7 +263,7 @@ def _(t):
     return f._new([("n_nationkey", f["n_nationkey"].expr), ("h", logic.hash_(f["n_name"].v))])
 
 
-@query("udf_scalar", "SELECT n_nationkey, n_nationkey * n_nationkey + 1 AS sq, upper(n_name) || '!' AS shout FROM nation")
+@query("udf_scalar", "SELECT n_nationkey, (n_nationkey * n_nationkey + 1)::BIGINT AS sq, upper(n_name) || '!' AS shout FROM nation")
 def _(t):
     from .. import udf
 
@@ -279,7 +279,7 @@ def _(t):
     return DataFrame(f.rows, [("n_nationkey", f["n_nationkey"].expr), ("sq", f["n_nationkey"].apply(square).expr), ("shout", f["n_name"].map(shout, na_action="ignore").expr)])
 
 
-@query("udf_rows", "SELECT n_nationkey, n_nationkey * 100 + n_regionkey AS code FROM nation")
+@query("udf_rows", "SELECT n_nationkey, (n_nationkey * 100 + n_regionkey)::BIGINT AS code FROM nation")
 def _(t):
     f = t.nation
 
