@@ -104,6 +104,13 @@ class Common:
     def values(self):
         return self.to_numpy()
 
+    def explain(self, mode: str = "formatted") -> None:
+        """Print the physical plan."""
+        self.to_spark().explain(mode=mode)
+
+    def __bool__(self):
+        raise ValueError("the truth of rows is ambiguous: use empty, any() or all()")
+
     def to_pickle(self, path, **_):
         self.to_pandas().to_pickle(path)
 
@@ -434,7 +441,16 @@ class Series(Common):
     def dot(self, other):
         return (self * other).sum()
 
-    __matmul__ = dot
+    __matmul__ = __rmatmul__ = dot
+
+    def __setitem__(self, key, value):
+        """Values by label, on this series only."""
+        hit = logic.isin(self.rows.value(F.col(self.rows.index[0])), listed(key))
+        self.expr = logic.where(literal(value), V(hit, T.BooleanType()), V(self.expr, self.dtype))
+        self.__dict__.pop("v", None)
+
+    def to_xarray(self, **_):
+        return self.to_pandas().to_xarray()
 
     def describe(self):
         return self.to_frame().describe().to_pandas()[self.name]
@@ -728,8 +744,6 @@ class Series(Common):
 
         return Plot(self)
 
-    hist = line = area = bar = property(lambda self: self.plot)
-
     def __repr__(self) -> str:
         return repr(self.peek(10))
 
@@ -809,6 +823,8 @@ class DataFrame(Common):
 
     def to_pandas(self, ordered: bool = True, max_download_size: int | None = None, sampling_method: str | None = None, random_state=None, **_) -> pd.DataFrame:
         sdf, names = self._flat()
+        if max_download_size is not None:
+            sdf = fitting(sdf, max_download_size << 20, sampling_method, random_state)
         if ordered and self.rows.order:
             self_order = [F.col(c).asc_nulls_last() if up else F.col(c).desc_nulls_last() for c, up in self.rows.order]
             sdf = sdf.orderBy(*self_order)
@@ -1489,6 +1505,17 @@ class DataFrame(Common):
         return Plot(self)
 
 
+def fitting(sdf: SparkFrame, most: int, method: str | None, seed: int | None) -> SparkFrame:
+    """All rows if they take ``most`` bytes at most; else a uniform sample or the head, or an error if no method is given."""
+    n, width = sdf.select(F.count(F.lit(1)), F.coalesce(F.avg(F.length(F.to_json(F.struct("*")))), F.lit(0))).first()
+    if n * width <= most:
+        return sdf
+    if method is None:
+        raise ValueError(f"about {int(n * width)} bytes are over the limit of {most}; give a sampling_method")
+    share = most / (n * width)
+    return sdf.limit(max(1, int(n * share))) if method == "head" else sdf.sample(fraction=share, seed=seed or 0)
+
+
 def _array_var(values: Column) -> Column:
     kept = F.filter(values, lambda v: v.isNotNull())
     n = F.size(kept)
@@ -1507,12 +1534,24 @@ for _name in ("sum", "mean", "min", "max", "std", "var", "count", "prod", "produ
 
 for _name in ("cumsum", "cumprod", "cummin", "cummax", "shift", "diff", "pct_change", "ffill", "bfill", "interpolate"):
     setattr(DataFrame, _name, lambda self, *a, n=_name, **k: self._window_each(n, *a, **k))
+for _name in ("hist", "line", "area", "bar"):
+    setattr(Series, _name, lambda self, *a, n=_name, **k: getattr(self.plot, n)(*a, **k))
+for _name in ("hist", "line", "area", "bar", "scatter"):
+    setattr(DataFrame, _name, lambda self, *a, n=_name, **k: getattr(self.plot, n)(*a, **k))
 DataFrame.rank = lambda self, axis=0, method="average", numeric_only=False, na_option="keep", ascending=True, pct=False: self._window_each("rank", axis, method, numeric_only, na_option, ascending, pct)
 
 
 class Index(Common):
     """The labels of rows; each verb works on the first level unless it names one."""
 
+    ndim = 1
+    shape = property(lambda self: (len(self),))
+    size = property(lambda self: len(self))
+    T = property(lambda self: self)
+
+    def transpose(self):
+        return self
+
     def __init__(self, rows: Rows):
         self.rows = rows
 

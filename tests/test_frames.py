@@ -321,3 +321,16 @@ def test_other_models(session):
     assert len(ml.RandomForestClassifier(numTrees=3).fit(f[["i", "rating"]], f["u"]).predict(f[["i", "rating"]])) == 5
     assert len(ml.KMeans(n_clusters=2).fit(f[["i"]]).detect_anomalies(f[["i"]])) == 5
     assert [len(t) + len(v) for t, v, _, _ in ml.KFold(2).split(f)] == [5, 5]
+
+
+def test_limits_and_truth(frame):
+    with pytest.raises(ValueError):
+        bool(frame["n"] > 1)
+    assert len(frame.to_pandas(max_download_size=1)) == 5
+    many = frame.merge(frame, how="cross").merge(frame, how="cross")
+    assert len(many.to_pandas(max_download_size=0, sampling_method="head")) == 1
+    with pytest.raises(ValueError):
+        many.to_pandas(max_download_size=0)
+    s = frame["n"]
+    s[11] = 99
+    assert values(s) == [1, 99, 3, 4, 5] and frame.index.shape == (5,)
