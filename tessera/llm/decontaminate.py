@@ -1,11 +1,11 @@
 """Benchmark decontamination by templates.
 
-Words are lower-cased and stripped of punctuation; numbers, names (capitalised inside
-a sentence) and units become typed placeholders.  Windows of five template words of
-the documents meet those of the benchmark in a hash join.  A document that holds 80 %
-or more of an item's windows contains the item, whether word for word or with other
-values, if its slots are consistent: along the best alignment, each value of the item
-is always replaced by the same value.
+Words are lower-cased and stripped of punctuation; numbers, names (capitalised, but not
+all capitals, inside a sentence) and units become typed placeholders.  Windows of five
+template words of the documents meet those of the benchmark in a hash join.  A document
+that holds 80 % or more of an item's windows contains the item, whether word for word
+or with other values, if its slots are consistent: along the best alignment, each value
+of the item is always replaced by the same value.
 
 Items with fewer than five words have no window and are never found.  Null texts have
 no words.  Rows with null key are not judged; rows with one key are one document;
@@ -53,7 +53,7 @@ class Vocabulary(dict):
         elif low in UNITS:
             found = flags | UNIT
         else:
-            found = (xxhash.xxh64_intdigest(low, 11) | 1 << 63) >> 3 << 3 | flags | (CAPITAL if core[0].isupper() else 0)
+            found = (xxhash.xxh64_intdigest(low, 11) | 1 << 63) >> 3 << 3 | flags | (CAPITAL if core[0].isupper() and not core.isupper() else 0)
         self[word] = found
         return found
 

@@ -97,7 +97,7 @@ def test_decontamination(spark):
     other = item.replace("120", "77").replace("Anna", "Olaf").replace(" 5 ", " 8 ")
     broken = item.replace("120 bags", "33 bags")
     bench = spark.createDataFrame([(1, item), (2, "too short"), (3, None), (None, item)], "item_id bigint, text string")
-    rows = [(1, "before it. " + item + " and after"), (2, other), (3, broken), (4, "a train leaves"), (5, None), (6, ""), (7, item.upper()), (8, " ".join(item.split()[:10])), (1, "before it. " + item + " and after")]
+    rows = [(1, "before it. " + item + " and after"), (2, other), (3, broken), (4, "a train leaves"), (5, None), (6, ""), (7, item.upper()), (8, " ".join(item.split()[:10])), (9, item.replace("Paris", "rain").replace("Anna", "snow").replace("Rome", "fog").upper()), (1, "before it. " + item + " and after")]
     found = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(spark.createDataFrame(rows, "doc_id bigint, text string"), bench).collect()}
     assert {(1, 1), (2, 1)} <= found and not {d for d, _ in found} & {3, 4, 5, 6, 8}
     assert decontaminate.contaminated(spark.createDataFrame([], "doc_id bigint, text string"), bench).count() == 0
