@@ -163,12 +163,13 @@ def _pair() -> list[Column]:
 WIDE = 8
 
 
-def wide_signatures(sets: LineSets) -> np.ndarray:
-    """(lines, WIDE): 64 * WIDE parity bits of each set."""
+def wide_signatures(sets: LineSets) -> list[np.ndarray]:
+    """WIDE words of 64 parity bits for each set."""
     slot = mixed(sets.keys + U(5))
-    row = np.repeat(np.arange(len(sets.n)), sets.n)
-    bits = np.bincount(row * (64 * WIDE) + (slot % U(64 * WIDE)).astype(np.int64), minlength=len(sets.n) * 64 * WIDE) & 1
-    return np.packbits(bits.astype(np.uint8), bitorder="little").view("<i8").reshape(len(sets.n), WIDE)
+    part, bit = (slot >> U(6)) % U(WIDE), U(1) << (slot & U(63))
+    if not len(sets.n):
+        return [np.zeros(0, np.int64)] * WIDE
+    return [np.bitwise_xor.reduceat(np.where(part == U(k), bit, U(0)), sets.starts).view(np.int64) for k in range(WIDE)]
 
 
 def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -193,8 +194,7 @@ def verified(docs: DataFrame, ranks, pairs: DataFrame, key: str, text: str, simi
     marks = [f"s{k}" for k in range(WIDE)]
 
     def rows(ids, sets):
-        wide = wide_signatures(sets)
-        return [pa.array(ids[sets.doc], pa.int64()), pa.array(sets.number, pa.int32()), pa.array(sets.n, pa.int32()), *(pa.array(np.ascontiguousarray(wide[:, k])) for k in range(WIDE)), sets.lists(sets.n)]
+        return [pa.array(ids[sets.doc], pa.int64()), pa.array(sets.number, pa.int32()), pa.array(sets.n, pa.int32()), *map(pa.array, wide_signatures(sets)), sets.lists(sets.n)]
 
     def wanted(doc, number):
         return passed(bits.value, doc ^ (number << 16))

@@ -84,16 +84,21 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str =
     return rows.join(out, "_host", "left").withColumn("kept", ~F.col("base_failed") & F.col("_out").isNull()).drop("_host", "_out")
 
 
-def keep(docs: DataFrame, text: str = "text", host: str = "source", max_rate: float = 0.5) -> DataFrame:
+def keep(docs: DataFrame, text: str = "text", host: str = "source", max_rate: float = 0.5, most_hosts: int = 100_000) -> DataFrame:
     """The rows of ``docs`` that neither fail themselves nor have a failing host, with all their columns.
 
-    Texts are read twice, for the hosts' rates and for the rows, and meet only the list
-    of failing hosts, which Spark broadcasts where its measured size allows.
+    Texts are read twice, for the hosts' rates and for the rows.  The failing hosts are
+    counted first: up to ``most_hosts`` of them, a few megabytes, are broadcast, so texts
+    are not shuffled; more are met in a shuffled join.
     """
+    out = durable(failing_hosts(durable(features(docs.select(F.lit(0).alias("_k"), text, host), "_k", text, host)), max_rate))
+    n = out.count()
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), F.col(text).alias("_t"), F.col(host).alias("_h"))
     # The filter must stay above the features: pushed below, it would hold all their steps many times over.
     judged = features(rows, "_doc", "_t", "_h").withColumn("_at", F.monotonically_increasing_id()).where("NOT base_failed AND _at >= 0")
-    return judged.join(failing_hosts(durable(features(docs.select(F.lit(0).alias("_k"), text, host), "_k", text, host)), max_rate), "_host", "left_anti").select("_doc.*")
+    if n:
+        judged = judged.join(F.broadcast(out) if n <= most_hosts else out, "_host", "left_anti")
+    return judged.select("_doc.*")
 
 
 ORACLE_SQL = r"""
