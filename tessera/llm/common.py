@@ -46,7 +46,16 @@ def durable(df: DataFrame) -> DataFrame:
     spark.sparkContext._jvm.System.gc()
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.durable_path = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Remove the files of a ``durable`` frame that no later plan reads."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.durable_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def sliced(batches: Iterable[pa.RecordBatch], column: str | None = None) -> Iterator[pa.RecordBatch]:

@@ -30,10 +30,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, free_name, sliced
+from .common import durable, free_name, release, sliced
 from .substrings import U, bitmap, mixed, passed, word_hashes
 
 SLOTS = 1 << 16
+#: Lines (of 16 bytes) that may be broadcast; the count is taken first.
+MOST_BROADCAST = 1_000_000
 LOW48 = U((1 << 48) - 1)
 
 
@@ -216,9 +218,11 @@ def out_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", similari
     """(doc, line, src_doc, src_line): every line that goes, and an earlier line that it is similar to."""
     spark = docs.sparkSession
     ranks = spark.sparkContext.broadcast(rarity(docs, key, text))
-    lines = durable(all_lines(docs, ranks, key, text, similarity))
+    wide = durable(all_lines(docs, ranks, key, text, similarity))
     least = F.min(F.struct("doc", "line", "n", "sig", "sig2", "prefix", "sketch"))
-    firsts = durable(lines.groupBy("sid").agg(least.alias("f"), F.count(F.lit(1)).alias("copies")).select("sid", "f.*", "copies"))
+    firsts = durable(wide.groupBy("sid").agg(least.alias("f"), F.count(F.lit(1)).alias("copies")).select("sid", "f.*", "copies").sortWithinPartitions("doc", "line"))
+    lines = durable(wide.select("sid", "doc", "line"))
+    release(wide)
 
     def spread(sets: DataFrame, prefix: Column, *more: str) -> DataFrame:
         return sets.where("n > 4").select(F.posexplode(prefix).alias("pos", "w"), "doc", "line", "n", "sig", "sig2", *more)
@@ -231,6 +235,8 @@ def out_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", similari
     out = durable(verified(docs, ranks, beside.select(*_pair()), key, text, similarity))
     # Second round: lines not yet out against all earlier ones; both sides are one plan, so its exchange is used twice.
     gone = out.select("doc", "line", F.lit(1).alias("_gone"))
+    if out.count() <= MOST_BROADCAST:
+        gone = F.broadcast(gone)
     words = spread(firsts.join(gone, ["doc", "line"], "left").withColumn("gone", F.coalesce("_gone", F.lit(0))), F.col("prefix"), "gone")
     # Said with columns of both sides, lest it be pushed below one side's exchange: no line that is out is a ``b``.
     open_ = F.col("a.gone") + F.col("b.gone") * (1 << 20) <= F.col("a.n") + 1
