@@ -71,6 +71,7 @@ class Rolling:
         self.frame, self.series = frame, series
         rows = frame.rows
         self.by, self.reach = list(by), None
+        self.whole = window is None and not self.by
         if window is None:
             self.least = 1 if min_periods is None else min_periods
             self.spec = rows.window(self.by).rowsBetween(Window.unboundedPreceding, 0)
@@ -109,11 +110,36 @@ class Rolling:
         def kept(w):
             return n.over(w) if name == "count" else F.when(n.over(w) >= self.least, found.over(w))
 
+        if self.whole and name in ("count", "sum", "mean", "min", "max"):
+            return self._so_far(v, name)
         if self.reach is not None and not self.by:
             return F.col(self.frame.rows.near(lambda w: kept(w.rowsBetween(*self.frame_)), self.reach, 0))
         return F.col(self.frame.rows.put(kept(self.spec))[0])
 
 
+    def _so_far(self, v: V, name: str) -> Column:
+        """Expanding aggregates over all rows from partition totals."""
+        from .offsets import running
+
+        rows = self.frame.rows
+        rows.offset()
+
+        def run(expr: Column, how: str) -> Column:
+            made = fresh()
+            rows.sdf = running(rows.sdf, rows.sort_columns(), expr, how, made, rows.sort_columns(reverse=True))
+            return F.col(made)
+
+        n = run(F.when(v.col.isNotNull(), 1).otherwise(0), "sum").cast("bigint")
+        if name == "count":
+            return n
+        if name in ("sum", "mean"):
+            total = run(F.coalesce(number(v), F.lit(0)), "sum")
+            out = total if name == "sum" else total / F.nullif(n, F.lit(0))
+        else:
+            out = run(run(number(v), name), "last")
+        return F.when(n >= self.least, out)
+
+
 for _n in ("count", "sum", "mean", "var", "std", "max", "min"):
     setattr(Rolling, _n, lambda self, n=_n: self.agg(n))
 

@@ -334,3 +334,11 @@ def test_limits_and_truth(frame):
     s = frame["n"]
     s[11] = 99
     assert values(s) == [1, 99, 3, 4, 5] and frame.index.shape == (5,)
+
+
+def test_expanding_over_all_rows(session):
+    s = pd.Series([3.0, None, 1.0, 5.0, None, 2.0], name="x")
+    f = session.read_pandas(s)
+    for how in ("count", "sum", "mean", "min", "max", "std"):
+        want = getattr(s.expanding(), how)()
+        assert np.allclose(getattr(f.expanding(), how)().to_pandas().astype(float).fillna(-9), want.fillna(-9)), how
