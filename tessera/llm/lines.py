@@ -10,8 +10,9 @@ whole sets.  A line goes if an
 earlier line (by document key, then line number) is that similar to it, whether or
 not that one stays.
 
-Equal sets are one row, their first line.  Lines with four words or fewer match equal
-sets only (at ``t`` = 0.8).  A first round holds each line against the earliest and
+Equal sets are one row, their first line.  A set of so few words that one more or
+less takes it below ``t`` (three or fewer at 0.8) can match equal sets only and is not
+joined.  A first round holds each line against the earliest and
 the previous lines that share a sketch of it, so groups of copies cost a number of
 pairs linear in their size; a second one holds the lines not yet out against all earlier
 ones.  Only kept pairs of keys are shuffled, never pairs of texts.
@@ -138,7 +139,9 @@ def all_lines(docs: DataFrame, ranks, key: str, text: str, similarity: float) ->
     """(sid, doc, line, n, sig, sig2, prefix, sketch) of every line with a word."""
 
     def rows(ids, sets):
-        prefix = np.where(sets.n > 4, sets.n - np.ceil(similarity * sets.n - 1e-9).astype(np.int64) + 1, 0)
+        # A set of n words is like another one only if it could be like one of n + 1 words.
+        joined = sets.n >= similarity * (sets.n + 1) - 1e-9
+        prefix = np.where(joined, sets.n - np.ceil(similarity * sets.n - 1e-9).astype(np.int64) + 1, 0)
         return [pa.array(sets.sid.view(np.int64)), pa.array(ids[sets.doc], pa.int64()), pa.array(sets.number, pa.int32()), pa.array(sets.n, pa.int32()), pa.array(sets.sig.view(np.int64)), pa.array(sets.sig2.view(np.int64)), sets.lists(prefix, np.int32), pa.FixedSizeListArray.from_arrays(pa.array(sets.sketch().ravel()), 4).cast(pa.list_(pa.int32()))]
 
     return _over(docs, key, text, ranks, rows, "sid long, doc long, line int, n int, sig long, sig2 long, prefix array<int>, sketch array<int>")
@@ -225,7 +228,7 @@ def out_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", similari
     release(wide)
 
     def spread(sets: DataFrame, prefix: Column, *more: str) -> DataFrame:
-        return sets.where("n > 4").select(F.posexplode(prefix).alias("pos", "w"), "doc", "line", "n", "sig", "sig2", *more)
+        return sets.where(F.size("prefix") > 0).select(F.posexplode(prefix).alias("pos", "w"), "doc", "line", "n", "sig", "sig2", *more)
 
     # First round: the two earliest and the two previous lines with a sketch in common.
     by_word = Window.partitionBy("w").orderBy("doc", "line")

@@ -261,6 +261,18 @@ def test_line_dedup(spark, docs, empty):
     assert lines.remove(empty).count() == 0 and lines.remove(docs).count() == docs.count()
 
 
+@pytest.mark.parametrize("t", [0.5, 0.8])
+def test_short_lines_by_brute_force(spark, t):
+    import random
+
+    r = random.Random(5)
+    rows = [(0, "a b c d"), (1, "a b c d e\nz a b c d"), (2, "p q r s t"), (3, "q p s r"), (4, "k l m\nk l m n")]
+    rows += [(k, "\n".join(" ".join(r.sample("ghijuvwxy", r.randint(1, 6))) for _ in range(3))) for k in range(5, 60)]
+    got = lines.out_lines(spark.createDataFrame(rows, "doc_id bigint, text string"), similarity=t).collect()
+    assert {(x.doc, x.line) for x in got} == slow_lines(rows, t)
+    assert {(1, 0), (1, 1), (3, 0)} <= {(x.doc, x.line) for x in got}
+
+
 # --- 7 --------------------------------------------------------------------------------------
 
 
