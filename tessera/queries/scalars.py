@@ -133,6 +133,13 @@ def _(t):
     return DataFrame(f.rows, [(n, x.expr) for n, x in {"doc_id": f["doc_id"], "an": s.isalnum(), "al": s.isalpha(), "de": s.isdecimal(), "nu": s.isnumeric(), "sp": s.isspace(), "lo": s.islower(), "up": s.isupper()}.items()])
 
 
+@query("string_classes_whole", "WITH s AS (SELECT doc_id, coalesce(text, '') AS x FROM documents) SELECT doc_id, regexp_full_match(x, '[\\p{N}\\p{L}]+') AS an, regexp_full_match(x, '\\p{L}+') AS al, regexp_full_match(x, '\\p{Nd}+') AS de, regexp_full_match(x, '\\p{N}+') AS nu, regexp_full_match(x, '\\s+') AS sp, lower(x) = x AND upper(x) <> x AS lo, upper(x) = x AND lower(x) <> x AS up FROM s")
+def _(t):
+    f = t.documents
+    s = f["text"].fillna("").str
+    return DataFrame(f.rows, [(n, x.expr) for n, x in {"doc_id": f["doc_id"], "an": s.isalnum(), "al": s.isalpha(), "de": s.isdecimal(), "nu": s.isnumeric(), "sp": s.isspace(), "lo": s.islower(), "up": s.isupper()}.items()])
+
+
 @query("string_digits", "SELECT p_partkey, regexp_full_match(CAST(p_size AS VARCHAR), '[0-9]+') AS dg, regexp_full_match(p_brand, '[0-9]+') AS db FROM part")
 def _(t):
     f = t.part

@@ -48,5 +48,11 @@ def test_query(spark, duck, name):
         assert len(got)
 
 
+def test_classes_judge_whole_texts(spark, duck):
+    got = QUERIES["string_classes_whole"](spark, FOLDER).toPandas().set_index("doc_id")
+    spaced = [r[0] for r in duck.sql("SELECT doc_id FROM documents WHERE regexp_full_match(substr(text, 1, 3), '\\p{L}+') AND contains(text, ' ')").fetchall()]
+    assert spaced and not got.loc[spaced, ["an", "al"]].astype(bool).any(axis=None)
+
+
 def test_sql_belongs_to_queries():
     assert set(SQL) <= set(QUERIES)
