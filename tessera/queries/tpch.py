@@ -164,6 +164,17 @@ def _(t):
     return e[["event_id", "k"]].merge(c[["c_custkey", "k"]], on="k")
 
 
+@query("join_null_keys_whole", "WITH a AS (SELECT event_id, CASE WHEN event_id % 4 = 0 THEN NULL ELSE user_id END AS k FROM events), b AS (SELECT k, count(*) AS n, min(c_custkey) AS least FROM (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_custkey END AS k FROM customer) GROUP BY k) SELECT event_id, a.k AS k, n, least FROM a JOIN b ON a.k IS NOT DISTINCT FROM b.k")
+def _(t):
+    e = t.events
+    e["k"] = e["user_id"].mask(e["event_id"] % 4 == 0)
+    c = t.customer
+    c["k"] = c["c_custkey"].mask(c["c_custkey"] % 3 == 0)
+    # One row a key, so that the null group meets each event once and the result is linear.
+    c = c.groupby("k", dropna=False, as_index=False).agg(n=("c_custkey", "size"), least=("c_custkey", "min"))
+    return e[["event_id", "k"]].merge(c, on="k")
+
+
 @query("join_by_index", "SELECT n_nationkey, n_name, s.n AS suppliers FROM nation LEFT JOIN (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY 1) s ON n_nationkey = s_nationkey")
 def _(t):
     per = t.supplier.groupby("s_nationkey").size().to_frame("suppliers")

@@ -54,5 +54,10 @@ def test_classes_judge_whole_texts(spark, duck):
     assert spaced and not got.loc[spaced, ["an", "al"]].astype(bool).any(axis=None)
 
 
+def test_null_keys_of_whole_tables_meet(spark, duck):
+    got = QUERIES["join_null_keys_whole"](spark, FOLDER).toPandas()
+    assert got["k"].isna().sum() == duck.sql("SELECT count(*) FROM events WHERE event_id % 4 = 0").fetchall()[0][0] and got["event_id"].max() >= 40
+
+
 def test_sql_belongs_to_queries():
     assert set(SQL) <= set(QUERIES)
