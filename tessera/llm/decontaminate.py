@@ -2,7 +2,9 @@
 
 Words are lower-cased and stripped of punctuation; numbers, names (capitalised, but not
 all capitals, inside a sentence) and units become typed placeholders.  Windows of five
-template words of the documents meet those of the benchmark in a hash join.  A document
+template words of the documents meet those of the benchmark in a hash join.  A window
+with names also has a plain form, in which names stay words, so that copies in other case
+are met: a window of an item is hit if either form is.  A document
 that holds 80 % or more of an item's windows contains the item, whether word for word
 or with other values, if its slots are consistent: along the best alignment, each value
 of the item is always replaced by the same value.
@@ -48,7 +50,7 @@ class Vocabulary(dict):
         flags = END if word == "\0" or word.endswith(ENDS) else 0
         if word == "\0" or not core:
             found = flags | SKIP
-        elif not core.isalpha() and NUMBER.fullmatch(core) or (low := core.lower()) in NUMBERS:
+        elif not core.isalpha() and NUMBER.fullmatch(core) or (low := core.casefold()) in NUMBERS:
             found = flags | NUM
         elif low in UNITS:
             found = flags | UNIT
@@ -72,44 +74,53 @@ class Templates:
         inside = np.zeros(len(raw), bool)
         if len(raw):
             inside[1:] = (flags[:-1] & END == 0) & (doc[1:] == doc[:-1])
-        hashes[(flags & CAPITAL > 0) & inside] = NAME
         keep = np.flatnonzero(flags & SKIP == 0)
+        self.plain_words = hashes[keep]
+        hashes[(flags & CAPITAL > 0) & inside] = NAME
         self.raw, self.at, self.words, self.doc = raw, keep, hashes[keep], doc[keep]
         n = len(keep)
         self.first = np.searchsorted(self.doc, np.arange(len(texts)))
         if n < width:
-            self.start, self.window = np.zeros(0, np.int64), np.zeros(0, U)
+            self.start, self.window, self.plain = np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, U)
             return
-        even = mixed(self.words)
-        total = np.zeros(n - width + 1, U)
-        for k in range(width):
-            total = total * U(0x9E3779B97F4A7C15) + even[k : n - width + 1 + k]
         self.start = np.flatnonzero(self.doc[width - 1 :] == self.doc[: n - width + 1])
-        self.window = mixed(total[self.start])
+        #: Hashes of the template and of the plain form; equal in windows without a name.
+        self.window, self.plain = self._rolled(self.words, width), self._rolled(self.plain_words, width)
+
+    def _rolled(self, words: np.ndarray, width: int) -> np.ndarray:
+        even, count = mixed(words), len(words) - width + 1
+        total = np.zeros(count, U)
+        for k in range(width):
+            total = total * U(0x9E3779B97F4A7C15) + even[k : count + k]
+        return mixed(total[self.start])
 
-    def slots(self, start: int, width: int) -> list[str]:
+    def slots(self, start: int, width: int, plain: bool = False) -> list[str]:
         """The values at the placeholders of a window."""
-        return [self.raw[self.at[k]].strip(EDGES).lower() for k in range(start, start + width) if self.words[k] <= NAME]
+        words = self.plain_words if plain else self.words
+        return [self.raw[self.at[k]].strip(EDGES).casefold() for k in range(start, start + width) if words[k] <= NAME]
 
 
 def _windows(rows: DataFrame, width: int, bits=None) -> DataFrame:
-    """(h, id, pos, slots) of all windows, or of those in the bitmap."""
+    """(h, window, id, pos, slots) of both forms of all windows, or of those in the bitmap; ``window`` is the template's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary()
         for batch in sliced(batches):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             made = Templates(batch.column(1).to_pylist(), width, vocabulary)
-            start, h = made.start, made.window
+            start, window, h = made.start, made.window, made.window
+            named = np.flatnonzero(made.plain != window)
+            plain = np.arange(len(start) + len(named)) >= len(start)
+            start, window, h = np.append(start, start[named]), np.append(window, window[named]), np.append(h, made.plain[named])
             if bits is not None and len(h):
                 keep = passed(bits.value, h)
-                start, h = start[keep], h[keep]
+                start, window, h, plain = start[keep], window[keep], h[keep], plain[keep]
             doc = made.doc[start] if len(start) else np.zeros(0, np.int64)
             pos = start - made.first[doc] if len(start) else start
-            slots = [made.slots(int(s), width) for s in start]
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[doc], pa.int64()), pa.array(pos.astype(np.int32)), pa.array(slots, pa.list_(pa.string()))], ["h", "id", "pos", "slots"])
+            slots = [made.slots(s, width, p) for s, p in zip(start.tolist(), plain.tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(window.view(np.int64)), pa.array(ids[doc], pa.int64()), pa.array(pos.astype(np.int32)), pa.array(slots, pa.list_(pa.string()))], ["h", "window", "id", "pos", "slots"])
 
-    return rows.mapInArrow(run, "h long, id long, pos int, slots array<string>")
+    return rows.mapInArrow(run, "h long, window long, id long, pos int, slots array<string>")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -119,13 +130,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     the join decides.  Spark splits hot windows of the join; counts are combined first.
     """
     items = durable(_windows(benchmark.select(F.col(item).cast("bigint").alias("k"), item_text).where("k IS NOT NULL"), width))
-    sizes = items.groupBy("id").agg(F.countDistinct("h").alias("n_windows"))
+    sizes = items.groupBy("id").agg(F.countDistinct("window").alias("n_windows"))
     bits = docs.sparkSession.sparkContext.broadcast(bitmap(items.select(F.col("h").alias("v")).distinct(), "true")[0])
-    found = _windows(docs.select(F.col(key).cast("bigint").alias("k"), text).where("k IS NOT NULL"), width, bits)
+    found = _windows(docs.select(F.col(key).cast("bigint").alias("k"), text).where("k IS NOT NULL"), width, bits).drop("window")
     # Few windows pass: they are kept, so that texts are read once.
-    met = found.select("h", F.col("id").alias("doc"), "pos", "slots").join(items.select("h", F.col("id").alias("item"), F.col("pos").alias("i_pos"), F.col("slots").alias("i_slots")), "h")
+    met = found.select("h", F.col("id").alias("doc"), "pos", "slots").join(items.select("h", "window", F.col("id").alias("item"), F.col("pos").alias("i_pos"), F.col("slots").alias("i_slots")), "h")
     met = durable(met.withColumn("shift", F.col("pos") - F.col("i_pos")))
-    hits = met.groupBy("doc", "item", "h").agg(F.lit(1).alias("one")).groupBy("doc", "item").agg(F.count(F.lit(1)).alias("n_hit"))
+    hits = met.groupBy("doc", "item", "window").agg(F.lit(1).alias("one")).groupBy("doc", "item").agg(F.count(F.lit(1)).alias("n_hit"))
     hits = durable(hits.join(sizes.withColumnRenamed("id", "item"), "item").where(F.col("n_hit") >= F.ceil(F.lit(similarity) * F.col("n_windows") - 1e-9)))
     # Slots, for the documents found only: the best alignment, and whether each item value has one replacement.
     slotted = met.where(F.size("i_slots") > 0).join(hits.select("doc", "item"), ["doc", "item"], "left_semi")

@@ -104,6 +104,17 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(spark.createDataFrame(rows, "doc_id bigint, text string"), bench.limit(0)).count() == 0
 
 
+def test_decontamination_in_other_case(spark):
+    item = "A train leaves Paris at 9 with 120 people and Anna counts 120 bags before it stops in Rome after 5 hours"
+    german = "Die Köchin kauft auf dem Markt in der Straße am Fluss 3 Körbe Äpfel und bringt den Kindern der Schule 2 Kuchen"
+    bench = spark.createDataFrame([(1, item), (2, german)], "item_id bigint, text string")
+    rows = [(10 * i + k, made) for i, x in ((1, item), (2, german)) for k, made in enumerate((x, x.upper(), x.lower(), x.title()))]
+    rows.append((30, item.replace("Paris", "rain").replace("Anna", "snow").replace("Rome", "fog").lower()))
+    got = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id bigint, text string"), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(10 * i + k, i) for i in (1, 2) for k in range(4)}
+    assert all(r.n_hit == r.n_windows for r in got)
+
+
 def test_decontamination_by_brute_force(spark, corpus):
     bench = spark.read.parquet(f"{FOLDER}/benchmark.parquet")
 
