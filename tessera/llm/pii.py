@@ -223,7 +223,7 @@ def added_spans(texts: list[str | None], base: list[list[list[tuple[int, int]]]]
                 row = np.full(OTHER + 1, -20.0)
                 row[kind] = 20.0
             elif (row := known.get(token)) is None:
-                row = shape(token[:256]) @ w
+                row = shape(token) @ w
                 if len(known) < 50_000:
                     known[token] = row
             scores.append(row)

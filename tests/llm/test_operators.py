@@ -228,6 +228,15 @@ def test_field_makes_labels_agree(docs, empty):
     assert pii.find(empty).count() == 0
 
 
+def test_field_judges_whole_tokens(monkeypatch):
+    seen, shape = [], pii.shape
+    pii.node_weights()
+    monkeypatch.setattr(pii, "shape", lambda token: seen.append(token) or shape(token))
+    token = "a1" + "/b" * 200 + "@c.de-4556"
+    pii.added_spans([token], [pii.base_spans("")])
+    assert seen == [token]
+
+
 # --- 6 -------------------------------------------------------------------------------------
 
 
