@@ -293,6 +293,21 @@ def test_short_lines_by_brute_force(spark, t):
     assert {(1, 0), (1, 1), (3, 0)} <= {(x.doc, x.line) for x in got}
 
 
+def test_rows_that_repeat_a_key_keep_their_own_lines(spark):
+    first, own = "the same line stands in both of these texts", "unique words that nobody else ever said here"
+    rows = [(1, first), (2, first + "\nrest a b c"), (2, own), (2, own), (3, "x\n" + own)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted((r.doc, r.line, r.src_doc, r.src_line) for r in lines.out_lines(df).collect()) == [(2, 0, 1, 0), (3, 1, 2, 0)]
+    assert sorted(r.text for r in lines.remove(df).collect()) == sorted([first, "rest a b c", own, own, "x"])
+
+
+def test_sketch_groups_over_batches(spark):
+    """A group longer than a batch meets its first and its previous lines; every result is an earlier line."""
+    rows = [(k, " ".join([f"w{j}" for j in range(24)] + [f"x{k % 7}", f"y{k % 5}"])) for k in range(3000)]
+    got = lines.out_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r.doc for r in got} == set(range(1, 3000)) and all(r.src_doc < r.doc for r in got)
+
+
 # --- 7 --------------------------------------------------------------------------------------
 
 
