@@ -232,12 +232,12 @@ ARRAYS = np.ceil, np.minimum, np.maximum
 PLACES = ("doc", "at")
 
 
-def beside(firsts: DataFrame, similarity: float) -> DataFrame:
-    """(doc, at, src_doc, src_at): lines with the two earliest and the two previous ones that share a sketch, where they may match.
+def beside(firsts: DataFrame, similarity: float, earliest: int = 8, previous: int = 32, best: int = 2) -> DataFrame:
+    """(doc, at, src_doc, src_at): lines with the likeliest of the earliest and the previous ones that share a sketch.
 
     Rows are dealt by ranges of (sketch, document) and each task goes through its rows
-    once, holding a batch and four rows, so a group of any size is split over tasks.
-    What a split hides is found in the second round.
+    once, holding a batch and a few rows, so a group of any size is split over tasks.
+    What this round does not hold against each other meets in the second one.
     """
     spread = firsts.where(F.size("prefix") > 0).select(F.explode("sketch").alias("w"), "doc", "at", "n", "sig", "sig2")
 
@@ -250,19 +250,25 @@ def beside(firsts: DataFrame, similarity: float) -> DataFrame:
             skip = 0 if held is None else len(held[0])
             w, doc, at, n, sig, sig2 = rows = new if held is None else [np.concatenate(x) for x in zip(held, new)]
             first = np.maximum.accumulate(np.where(np.append(True, w[1:] != w[:-1]), np.arange(len(w)), 0))
+            back, tries = np.arange(skip, len(w)), []
+            for step in range(1, previous + 1):
+                back = back[back - step >= first[back]]
+                tries.append((back - step, back))
             me = np.arange(skip, len(w))
-            b = np.concatenate([me] * 4)
-            a = np.concatenate((first[skip:], first[skip:] + 1, me - 1, me - 2))
-            ok = (a >= first[b]) & (a < b)
-            a, b = a[ok], b[ok]
+            for step in range(earliest):
+                me = me[first[me] + step < me - previous]
+                tries.append((first[me] + step, me))
+            a, b = (np.concatenate(x) for x in zip(*tries))
             differ = np.bitwise_count(sig[a] ^ sig[b]).astype(np.int64) + np.bitwise_count(sig2[a] ^ sig2[b])
             length, rest = may_match(n[a].astype(np.int64), n[b].astype(np.int64), 0, 0, differ, similarity, ARRAYS)
             ok = length & rest
-            a, b = a[ok], b[ok]
-            once = np.unique(b * len(w) + a)
-            b, a = once // len(w), once % len(w)
-            start = first[-1]
-            keep = np.unique(np.clip([start, start + 1, len(w) - 2, len(w) - 1], start, len(w) - 1))
+            a, b, differ = a[ok], b[ok], differ[ok]
+            order = np.lexsort((a, differ, b))
+            a, b = a[order], b[order]
+            nth = np.arange(len(b)) - np.searchsorted(b, b)
+            a, b = a[nth < best], b[nth < best]
+            start, end = first[-1], len(w)
+            keep = np.unique(np.r_[start : min(end, start + earliest), max(start, end - previous) : end])
             held = [x[keep] for x in rows]
             yield pa.RecordBatch.from_arrays([pa.array(doc[b]), pa.array(at[b]), pa.array(doc[a]), pa.array(at[a])], ["doc", "at", "src_doc", "src_at"])
 
