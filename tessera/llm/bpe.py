@@ -7,10 +7,12 @@ transducer therefore needs only those earlier positions from which some vocabula
 entry could still reach past the bytes read (none is older than the longest entry),
 with the last token before each.  A token is emitted once all paths that are still
 open run through it.  States and moves are made when first met and kept while they
-fit ``max_states``.
+fit ``max_states``; beyond that all are forgotten and made anew, with the same ids.
 
-Null text is the empty text; it has no ids.  Repeated rows, ties and extra columns
-pass through unchanged; an empty table gives an empty table.
+Null text is the empty text; it has no ids.  Texts of any length are read whole; long
+pre-tokens leave the transducer as they are settled.  Repeated rows, ties and extra
+columns pass through unchanged; a new column whose name is taken gets underscores in
+front; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import sliced
+from .common import free_name, sliced
 
 NONE = -1
 
@@ -74,12 +76,15 @@ class Transducer:
                 node = down
             self.ends[node] = i
         self.borders: dict[tuple[int, int], bool] = {}
-        self.reset()
-
-    def reset(self) -> None:
         self.states: list[tuple[int, ...]] = []
         self.ids: dict[tuple[int, ...], int] = {}
         self.moves: dict[int, tuple[int, int]] = {}
+        self.reset()
+
+    def reset(self) -> None:
+        """Forget all states but the first.  Tables are emptied in place: callers hold on to them in the middle of a piece."""
+        for table in (self.states, self.ids, self.moves):
+            table.clear()
         self.start = self.intern((0, NONE))
 
     def intern(self, state: tuple[int, ...]) -> int:
@@ -226,10 +231,8 @@ def decoder(path: str) -> Decoder:
 
 
 def _appended(schema: T.StructType, *fields: tuple[str, T.DataType]) -> T.StructType:
-    taken = {f.name.lower() for f in schema}
-    if clash := [n for n, _ in fields if n.lower() in taken]:
-        raise ValueError(f"columns exist already: {clash}; drop or rename them first")
-    return T.StructType([*schema.fields, *(T.StructField(n, t) for n, t in fields)])
+    """The schema with more fields at its end; a name that is taken (in any case) gets underscores in front."""
+    return T.StructType([*schema.fields, *(T.StructField(free_name(schema.names, n), t) for n, t in fields)])
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", into: str = "ids") -> DataFrame:
@@ -243,9 +246,10 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", into: s
             for p in packed:
                 ends.append(ends[-1] + len(p) // 4)
             values = pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(b"".join(packed))])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], [*batch.schema.names, into])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], schema.names)
 
-    return docs.mapInArrow(run, _appended(docs.schema, (into, T.ArrayType(T.IntegerType()))))
+    schema = _appended(docs.schema, (into, T.ArrayType(T.IntegerType())))
+    return docs.mapInArrow(run, schema)
 
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", into: str = "decoded", step: int = 4096) -> DataFrame:
@@ -259,15 +263,16 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", into: str = "decoded",
                 made.reset()
                 row = row or []
                 texts.append("".join(made.feed(row[k : k + step]) for k in range(0, len(row), step)) + made.feed((), True))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, into])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], schema.names)
 
-    return docs.mapInArrow(run, _appended(docs.schema, (into, T.StringType())))
+    schema = _appended(docs.schema, (into, T.StringType()))
+    return docs.mapInArrow(run, schema)
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", into: str = "ids", step: int = 4096) -> DataFrame:
     """``encode``, and ``text`` read back from the ids by the streaming decoder, in one pass of one worker."""
 
-    names, at = docs.columns, docs.columns.index(text)
+    at, schema = docs.columns.index(text), _appended(docs.schema, (into, T.ArrayType(T.IntegerType())))
 
     def run(batches):
         made, back = encoder(path, pattern), decoder(path)
@@ -281,9 +286,9 @@ def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", int
                 texts.append("".join([back.feed(read[k : k + step]) for k in range(0, len(read), step)]) + back.feed((), True))
             values = pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(b"".join(packed))])
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(texts, pa.string()), *batch.columns[at + 1 :], ids], [*names, into])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(texts, pa.string()), *batch.columns[at + 1 :], ids], schema.names)
 
-    return docs.mapInArrow(run, _appended(docs.schema, (into, T.ArrayType(T.IntegerType()))))
+    return docs.mapInArrow(run, schema)
 
 
 DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"

@@ -141,6 +141,58 @@ def test_html():
     assert html.main_text("<article>" + "<p>a</p>" * 3000) == "\n".join("a" * 3000)
 
 
+PROSE = "This sentence is plain prose, as articles have it, and goes on for a while without any link in it. "
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<article><p>Intro text <noscript><p>enable js</p></noscript> and more.</p></article>", "Intro text and more."),
+        ("<article><p>a<button><div>x</div></button>b</p></article>", "ab"),
+        ("<div class='content has-sidebar'><h1>T</h1><p>Words of the page.</p></div>", "T\nWords of the page."),
+        ("<div class='layout side-by-side'><p>Words of the page.</p></div>", "Words of the page."),
+        ("<div id='page-with-nav'><article><p>Words.</p></article></div>", "Words."),
+        ("<div class='sidebar'><main><p>Words.</p></main></div><div class='sidebar'>Side</div>", "Words."),
+        ("<div class='modal'><p>All there is.</p></div>", "All there is."),
+        ("<form><main><p>Words.</p><form>Ask</form></main></form>", "Words."),
+        ("<article><p>Words <span class='advert'>BUY <span>NOW</span></span>go on.</p></article>", "Words go on."),
+        (f"<div><p>{PROSE * 5}</p></div><div><p>Short.</p></div><div><p>{PROSE * 5}</p></div>", "\n".join([(PROSE * 5).strip(), "Short.", (PROSE * 5).strip()])),
+        (f"<article><p>{PROSE * 3}</p><div><a href=x>One link</a><br><a href=y>and another</a></div><p>End.</p></article>", (PROSE * 3).strip() + "\nEnd."),
+        (f"<h1>Title</h1><div><p>{PROSE * 3}</p><p>End.</p></div><div><a href=x>One</a> <a href=y>Two</a></div>", "Title\n" + (PROSE * 3).strip() + "\nEnd."),
+        (f"<article class=teaser><a href=x>More here</a></article><div><p>{PROSE * 9}</p><p>End.</p></div>", (PROSE * 9).strip() + "\nEnd."),
+        (f"<article><p>{PROSE}</p></article><div class=comments><article><p>{PROSE * 3}</p></article></div>", PROSE.strip()),
+        ("<div>" * 50_000 + "deep", "deep"),
+    ],
+)
+def test_html_pages(page, want):
+    assert html.main_text(page) == want
+
+
+def test_html_on_generated_pages():
+    """Pages of a known article among known clutter; half of them have no article element."""
+    import random
+
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghiklmnoprstuw") for _ in range(r.randint(2, 9)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    links = lambda n: " ".join(f"<li><a href='/{word()}'>{word()}</a></li>" for _ in range(n))
+    clutter = [
+        lambda: f"<nav><ul>{links(6)}</ul></nav>", lambda: f"<div class='top-menu'><ul>{links(5)}</ul></div>", lambda: f"<div><ul>{links(8)}</ul></div>", lambda: f"<aside><p>{prose(40)}</p></aside>", lambda: f"<div class='cookie-notice'><p>{prose(30)}</p></div>",
+        lambda: f"<div class='sidebar'><p>{prose(30)}</p></div>", lambda: f"<script>var x = '<p>{prose(9)}</p>';</script>", lambda: f"<form>{prose(8)}<input><button>{word()}</button></form>", lambda: f"<section id='comments'><p>{prose(50)}</p></section>", lambda: f"<div class='ad'>{prose(12)}</div>", lambda: f"<footer>{prose(10)} <a href='#'>{word()}</a></footer>",
+    ]
+    for _ in range(400):
+        blocks = [prose(r.randint(3, 8))] + [prose(r.randint(30, 90)) if r.random() < 0.8 else prose(r.randint(2, 6)) for _ in range(r.randint(3, 9))]
+        made = [f"<h1>{blocks[0]}</h1>"]
+        for b in blocks[1:]:
+            first, _, rest = b.partition(" ")
+            made.append(r.choice((f"<p>{b}</p>", f"<p>{b}", f"<p><b>{first}</b> {rest}</p>", f"<p>{first} <span class='advert'>{word()}</span>{rest}</p>", f"<p>{b}<noscript><p>{word()}</p></noscript></p>")))
+        tag = r.choice(("article", "main", "div class='story'", "div"))
+        body = f"<{tag}>{''.join(made)}</{tag.split()[0]}>"
+        parts = [r.choice(clutter)() for _ in range(r.randint(0, 4))] + [body] + [r.choice(clutter)() for _ in range(r.randint(0, 4))]
+        page = f"<html><head><title>{prose(3)}</title></head><body>{''.join(parts)}</body></html>"
+        assert html.main_text(page) == "\n".join(blocks), page
+
+
 def test_html_frames(spark):
     pages = spark.createDataFrame([(1, "u", None), (2, None, "<p>x"), (2, None, "<p>x")], "page_id bigint, url string, html string")
     got = [(r.page_id, r.text, r.n_chars) for r in html.extract(pages).collect()]
@@ -404,8 +456,7 @@ def test_ids_are_the_libraries(docs, empty):
     assert back.where("decoded <> coalesce(text, '')").count() == 0 and back.columns == [*docs.columns, "ids", "decoded"]
     trip = bpe.round_trip(docs, VOCABULARY, public_tokenizers.PATTERN)
     assert trip.columns == [*docs.columns, "ids"] and trip.count() == docs.count()
-    with pytest.raises(ValueError):
-        bpe.encode(docs, VOCABULARY, public_tokenizers.PATTERN, into="LANG")
+    assert bpe.encode(docs, VOCABULARY, public_tokenizers.PATTERN, into="LANG").columns == [*docs.columns, "_LANG"]
 
 
 def test_random_texts_and_chunks():
@@ -417,13 +468,26 @@ def test_random_texts_and_chunks():
         assert memoryview(mine.packed(t)).cast("I").tolist() == enc.encode_ordinary(t)
     for b in (b"abcabc" * 3000, b"a" * 9000, "日本語".encode() * 2000):
         assert mine.machine.encode(b) == list(mine.machine.stream((b[i : i + 97] for i in range(0, len(b), 97)), look=300))
-    small = bpe.Transducer(mine.ranks, max_states=50)  # tables are dropped and made again
-    assert small.encode(b"unbelievably" * 20) == mine.machine.encode(b"unbelievably" * 20)
     back = bpe.Decoder(mine.ranks)
     ids = enc.encode_ordinary("naïve 🙂 日本")
     assert "".join(back.feed([i]) for i in ids) + back.feed((), True) == "naïve 🙂 日本"
 
 
+@pytest.mark.parametrize("most", [50, 500, 5000])
+def test_tables_that_are_full_are_made_again(most):
+    import random
+
+    enc, ranks, r = reference(), bpe.load_ranks(VOCABULARY), random.Random(most)
+    small = bpe.Transducer(ranks, max_states=most)
+    resets, reset = [], small.reset
+    small.reset = lambda: (resets.append(1), reset())
+    entries = list(ranks)
+    for k in range(20_000):
+        piece = b"".join(r.choices(entries, k=r.randint(1, 4))) if k % 2 else bytes(r.choices(range(256), k=r.randint(1, 12)))
+        assert small.encode(piece) == enc._encode_single_piece(piece)
+    assert resets
+
+
 # --- 10 -----------------------------------------------------------------------------------------
 
 
