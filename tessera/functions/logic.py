@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .numeric import micros, micros_time, time_micros
 from .typed import V, literal, number
 
 
@@ -89,14 +90,10 @@ def astype(a: V, to, safe: bool = False) -> Column:
     if isinstance(to, T.BooleanType) and a.is_number:
         return a.col != 0
     if a.is_int and isinstance(to, (T.TimestampType, T.TimestampNTZType)):
-        return F.timestamp_micros(a.col.cast("bigint")).cast(to)
-    if isinstance(a.type, T.TimestampType) and isinstance(to, T.LongType):
-        return F.unix_micros(a.col)
-    if isinstance(a.type, T.TimestampNTZType) and isinstance(to, T.LongType):
-        return F.unix_micros(a.col.cast("timestamp"))
+        return micros_time(a.col, to)
+    if isinstance(a.type, (T.TimestampType, T.TimestampNTZType)) and isinstance(to, T.LongType):
+        return time_micros(a.col, a.type)
     if a.is_interval and isinstance(to, T.LongType):
-        from .numeric import micros
-
         return micros(a)
     if a.is_float and isinstance(to, T.LongType) and not safe:
         return F.when(F.isnan(a.col), None).otherwise(a.col).cast(to)

@@ -16,13 +16,29 @@ def _nan() -> Column:
 
 
 def micros(v: V) -> Column:
-    """An interval's microseconds."""
-    return F.unix_micros(F.timestamp_seconds(F.lit(0)) + v.col)
+    """An interval's microseconds, from its parts: the session's time zone has no say in them."""
+    part = lambda n: F.extract(F.lit(n), v.col)
+    minutes = (part("DAY").cast("bigint") * 24 + part("HOUR")) * 60 + part("MINUTE")
+    return minutes * 60_000_000 + (part("SECOND") * 1_000_000).cast("bigint")
 
 
 def interval(us: Column) -> Column:
     """Microseconds as an interval."""
-    return F.timestamp_micros(us.cast("bigint")) - F.timestamp_seconds(F.lit(0))
+    return F.make_dt_interval(secs=(us.cast("bigint").cast("decimal(18,0)") / 1_000_000).cast("decimal(18,6)"))
+
+
+def epoch() -> Column:
+    return F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'")
+
+
+def time_micros(c: Column, kind: T.DataType) -> Column:
+    """A time's microseconds since 1970; wall-clock times count as they read, in any time zone."""
+    return F.unix_micros(c) if isinstance(kind, T.TimestampType) else micros(V(c.cast("timestamp_ntz") - epoch(), T.DayTimeIntervalType()))
+
+
+def micros_time(us: Column, kind: T.DataType) -> Column:
+    """The time of a kind that ``time_micros`` was taken of."""
+    return F.timestamp_micros(us.cast("bigint")) if isinstance(kind, T.TimestampType) else (epoch() + interval(us)).cast(kind)
 
 
 def stamp(v: V) -> Column:

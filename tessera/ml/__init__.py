@@ -359,15 +359,20 @@ class SimpleImputer(Transformer):
 
 
 class LabelEncoder(Transformer):
-    """Ranks of the values in order, from 1; unknown ones are 0."""
+    """Ranks of the values in order, from 1; unknown ones are 0.  More values than ``most`` are an error."""
 
     prefix = "labelencoded"
+    most = 1_000_000
 
     def fit(self, X, y=None):
         X = _frame(X)
         self.fitted = {}
         for s in X._series():
-            rows = X.rows.sdf.groupBy(s.expr.alias("v")).count().where("v IS NOT NULL").orderBy(F.desc("count") if self.params.get("max_categories") else "v").limit(self.params.get("max_categories") or 1_000_000).collect()
+            counted = X.rows.sdf.groupBy(s.expr.alias("v")).count().where("v IS NOT NULL")
+            if most := self.params.get("max_categories"):
+                rows = counted.orderBy(F.desc("count"), "v").limit(most).collect()
+            elif len(rows := counted.limit(self.most + 1).collect()) > self.most:
+                raise ValueError(f"{s.name} has more than {self.most} values; give max_categories")
             least = self.params.get("min_frequency") or 0
             self.fitted[s.name] = {v: k + 1 for k, v in enumerate(sorted(r["v"] for r in rows if r["count"] >= least))}
         return self

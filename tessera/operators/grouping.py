@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import aggregates, datetimes
+from ..functions.numeric import time_micros
 from ..functions.typed import V, number
 from ..plans.frame import DataFrame, Series, listed
 from ..plans.rows import Rows, fresh
@@ -225,7 +226,7 @@ class Resampler:
         self.kind = frame.rows.value(at).type
         self.on, self.at, self.origin = on, at, origin
         self.fixed = unit in datetimes.SECONDS and unit != "W"
-        stamp = F.unix_micros(at.cast("timestamp"))
+        stamp = time_micros(at, self.kind)
         if self.fixed:
             step = int(datetimes.SECONDS[unit] * self.n * 1_000_000)
             if origin == "epoch":

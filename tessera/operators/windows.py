@@ -7,6 +7,7 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from ..functions import aggregates, logic
+from ..functions.numeric import time_micros
 from ..functions.typed import V, number
 from ..plans.frame import DataFrame, Series
 from ..plans.rows import fresh
@@ -85,7 +86,7 @@ class Rolling:
             self.least = 1 if min_periods is None else min_periods
             us = int(pd.Timedelta(window).total_seconds() * 1_000_000)
             at = frame._column(on) if on is not None else F.col(rows.index[0])
-            name = rows.put(F.unix_micros(at.cast("timestamp")))[0]
+            name = rows.put(time_micros(at, rows.value(at).type))[0]
             low, high = {"right": (-us + 1, 0), "left": (-us, -1), "both": (-us, 0), "neither": (-us + 1, -1)}[closed or "right"]
             self.spec = Window.partitionBy(*self.by).orderBy(name).rangeBetween(low, high)
             self.on = on

@@ -818,6 +818,7 @@ class DataFrame(Common):
         taken = [F.col(c).alias(str(n) if n is not None else f"index_{k}" if len(self.rows.index) > 1 else "index") for k, (c, n) in enumerate(zip(self.rows.index, self.rows.names))] if index else []
         return sdf.select(*taken, *(e.alias(n if isinstance(n, str) else "_".join(map(str, n)) if isinstance(n, tuple) else str(n)) for n, e in self._columns))
 
+    @property
     def sql(self) -> str:
         return self.to_spark()._jdf.queryExecution().optimizedPlan().toString()
 

@@ -126,13 +126,6 @@ def _(t):
     return DataFrame(f.rows, [(n, x.expr) for n, x in {"c_custkey": f["c_custkey"], "lp": m.rjust(12, "*"), "rp": m.ljust(12, "*"), "z": f["c_custkey"].astype("string").str.zfill(8), "sl": s[2:6], "g": s[0], "sp": s.split("#").str.join("|"), "tail": s[-3:]}.items()])
 
 
-@query("string_classes", "WITH s AS (SELECT doc_id, substr(coalesce(text, ''), 1, 3) AS x FROM documents) SELECT doc_id, regexp_full_match(x, '[\\p{N}\\p{L}]+') AS an, regexp_full_match(x, '\\p{L}+') AS al, regexp_full_match(x, '\\p{Nd}+') AS de, regexp_full_match(x, '\\p{N}+') AS nu, regexp_full_match(x, '\\s+') AS sp, lower(x) = x AND upper(x) <> x AS lo, upper(x) = x AND lower(x) <> x AS up FROM s")
-def _(t):
-    f = t.documents
-    s = f["text"].fillna("").str[0:3].str
-    return DataFrame(f.rows, [(n, x.expr) for n, x in {"doc_id": f["doc_id"], "an": s.isalnum(), "al": s.isalpha(), "de": s.isdecimal(), "nu": s.isnumeric(), "sp": s.isspace(), "lo": s.islower(), "up": s.isupper()}.items()])
-
-
 @query("string_classes_whole", "WITH s AS (SELECT doc_id, coalesce(text, '') AS x FROM documents) SELECT doc_id, regexp_full_match(x, '[\\p{N}\\p{L}]+') AS an, regexp_full_match(x, '\\p{L}+') AS al, regexp_full_match(x, '\\p{Nd}+') AS de, regexp_full_match(x, '\\p{N}+') AS nu, regexp_full_match(x, '\\s+') AS sp, lower(x) = x AND upper(x) <> x AS lo, upper(x) = x AND lower(x) <> x AS up FROM s")
 def _(t):
     f = t.documents
@@ -154,7 +147,7 @@ def _(t):
     return DataFrame(f.rows, [(n, x.expr) for n, x in {"event_id": f["event_id"], "y": d.year, "mo": d.month, "d": d.day, "h": d.hour, "mi": d.minute, "s": d.second, "q": d.quarter, "dow": d.dayofweek, "doy": d.dayofyear, "iw": iso["week"], "iy": iso["year"], "id": iso["day"], "dn": d.day_name(), "dt": d.date, "nm": d.normalize()}.items()])
 
 
-@query("datetime_floor_format", "SELECT event_id, date_trunc('hour', ts) AS fh, date_trunc('month', ts) AS fm, date_trunc('week', ts) AS fw, date_trunc('quarter', ts) AS fq, date_trunc('year', ts) AS fy, strftime(ts, '%Y/%m/%d %H-%M-%S') AS sf, strftime(ts, '%H:%M:%S.%f') AS tm, epoch_us(ts) AS us, epoch_ms(ts) AS ms, epoch_us(ts) // 1000000 AS sec FROM events")
+@query("datetime_floor_format", "SELECT event_id, date_trunc('hour', ts) AS fh, date_trunc('month', ts) AS fm, date_trunc('week', ts) AS fw, date_trunc('quarter', ts) AS fq, date_trunc('year', ts) AS fy, strftime(ts, '%Y/%m/%d %H-%M-%S') AS sf, strftime(ts, '%H:%M:%S.%f') AS tm, epoch_us(ts) AS us, epoch_us(ts) // 1000 AS ms, epoch_us(ts) // 1000000 AS sec FROM events")
 def _(t):
     f = t.events
     d, v = f["ts"].dt, f["ts"].v

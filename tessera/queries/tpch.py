@@ -153,17 +153,6 @@ def _(t):
     return t.region.merge(t.nation, how="cross")[["r_name", "n_name"]]
 
 
-@query("join_null_keys", "WITH a AS (SELECT event_id, CASE WHEN event_id % 4 = 0 THEN NULL ELSE user_id % 10 END AS k FROM events WHERE event_id < 40), b AS (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_custkey % 10 END AS k FROM customer WHERE c_custkey < 10) SELECT event_id, c_custkey, a.k AS k FROM a JOIN b ON a.k IS NOT DISTINCT FROM b.k")
-def _(t):
-    e = t.events
-    e = e[e["event_id"] < 40]
-    e["k"] = (e["user_id"] % 10).mask(e["event_id"] % 4 == 0)
-    c = t.customer
-    c = c[c["c_custkey"] < 10]
-    c["k"] = (c["c_custkey"] % 10).mask(c["c_custkey"] % 3 == 0)
-    return e[["event_id", "k"]].merge(c[["c_custkey", "k"]], on="k")
-
-
 @query("join_null_keys_whole", "WITH a AS (SELECT event_id, CASE WHEN event_id % 4 = 0 THEN NULL ELSE user_id END AS k FROM events), b AS (SELECT k, count(*) AS n, min(c_custkey) AS least FROM (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_custkey END AS k FROM customer) GROUP BY k) SELECT event_id, a.k AS k, n, least FROM a JOIN b ON a.k IS NOT DISTINCT FROM b.k")
 def _(t):
     e = t.events

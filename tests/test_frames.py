@@ -35,7 +35,7 @@ def test_round_trip_keeps_order_and_index(frame, local):
 def test_same_rows_combine_without_join(frame):
     out = frame["n"] + frame["n"] * 2
     assert values(out) == [3, 6, 9, 12, 15]
-    assert "Join" not in out.to_frame("v").sql()
+    assert "Join" not in out.to_frame("v").sql
 
 
 def test_different_rows_meet_on_the_index(session):

@@ -1,9 +1,11 @@
 """Every registered query with SQL gives what DuckDB gives, at the smallest size."""
 
+import decimal
 import math
 import os
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -26,11 +28,15 @@ def cell(v):
     if isinstance(v, (bool,)) or type(v).__name__ == "bool_":
         return str(bool(v))
     if hasattr(v, "tolist") and getattr(v, "ndim", 0):
-        return str(v.tolist())
-    try:
-        return f"{float(v):.6g}" if not isinstance(v, str) else v
-    except (TypeError, ValueError):
-        return str(v).replace(" 00:00:00", "")
+        return str([cell(x) for x in v.tolist()])
+    if isinstance(v, (list, tuple)):
+        return str([cell(x) for x in v])
+    if isinstance(v, (int, np.integer)):
+        return str(int(v))
+    if isinstance(v, (float, np.floating, decimal.Decimal)):
+        # Whole numbers in full: a null makes whole numbers of pandas floats.  Others to nine digits.
+        return str(int(v)) if math.isfinite(v) and v == int(v) and abs(v) < 2**53 else f"{float(v):.9g}"
+    return v if isinstance(v, str) else str(v).replace(" 00:00:00", "")
 
 
 def rows(df):
