@@ -6,17 +6,23 @@ least ``inner``-mer form a nonbranching path as far as that document goes; a pat
 not an edge, is the unit that is shuffled.  A first join of paths by their least
 inner k-mer finds those met in two documents.  Where all documents agree on the path
 around such a k-mer, the whole path is matched at once; where they branch, its edges
-are matched one by one.  Matches carry the coordinates (document, first word, edges)
-from which the texts are rewritten.
+are matched one by one.
+
+A match carries the coordinates of both sides: document, digest of its text, first
+word.  Matches that follow each other in both documents are compacted by joins with
+their successors: one that has no predecessor begins a span, one that has no successor
+ends it.  The words of every span are then read again at both coordinates and their
+digests compared; a span whose two sides differ is not removed.
 
 Keys of matches are 96 bits of two independent polynomial hashes over word hashes.
-Least documents are combined before each shuffle, and Spark splits hot keys of the
-joins.  Bitmaps of a fixed size, made by Spark, only spare work: what they pass in
-error is matched and found alone.
+Least documents are combined before each shuffle.  Keys of more than ``HOT`` places
+are salted, so that no task gets all copies of a passage.  Bitmaps of a fixed size, made
+by Spark, only spare work: what they pass in error is matched and found alone.
 
 Null text has no words.  A row with null key neither removes nor loses words.  Rows
-with one key count as one document; each row's own words are judged.  An empty table
-gives an empty result.  Only the key and text columns are read.
+with one key count as one document; each row's own words are judged.  Keys are whole
+numbers; one that does not cast to one is an error.  A text of any length is read whole.
+An empty table gives an empty result.  Only the key and text columns are read.
 """
 
 from __future__ import annotations
@@ -27,47 +33,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import durable, sliced
+from .common import durable, release, sliced
+from .tokens import Powers, U, Words, mixed
 
-U = np.uint64
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 #: Bits of each fixed-size bitmap (4 MB).
 BITS = 1 << 25
 EDGE = U(0x5851F42D4C957F2D)
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> U(33))) * U(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> U(33))) * U(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> U(33))
-
-
-class Powers:
-    """Powers of an odd base modulo 2^64 and of its inverse, as far as needed."""
-
-    def __init__(self, base: int):
-        self.base, self.inverse = U(base), U(pow(base, -1, 1 << 64))
-        self.up = self.down = np.ones(1, U)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > len(self.up):
-            for name, base in (("up", self.base), ("down", self.inverse)):
-                steps = np.full(n, base, U)
-                steps[0] = 1
-                setattr(self, name, np.cumprod(steps, dtype=U))
-        return self.up[:n], self.down[:n]
-
+#: Places of a key from which on it is salted, and the parts it is cut into.
+HOT, SALTS = 5000, 256
+HALF = (1 << 32) - 1
 
 _POWERS = [Powers(b) for b in BASES]
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(map(xxhash.xxh64_digest, words)), ">u8").astype(U)
-
-
 class Spans:
     """Hashes of any span of a word sequence, in constant time each."""
 
@@ -82,15 +64,14 @@ class Spans:
 class Paths:
     """The edges and paths of a batch of texts."""
 
-    def __init__(self, texts: list[str | None], window: int, inner: int):
-        split = [t.encode().split() if t else [] for t in texts]
-        sizes = np.fromiter(map(len, split), np.int64, len(split))
+    def __init__(self, texts: pa.Array, window: int, inner: int):
+        self.text = words = Words(texts)
         self.window = window
-        self.ends = np.cumsum(sizes)
-        self.starts = self.ends - sizes
-        hashes = word_hashes([w for ws in split for w in ws])
+        self.ends = np.cumsum(words.sizes)
+        self.starts = self.ends - words.sizes
+        hashes = words.hashes
         n = len(hashes)
-        self.doc_of = np.repeat(np.arange(len(texts)), sizes)
+        self.doc_of = words.doc
         at = np.flatnonzero(np.arange(n) + window <= self.ends[self.doc_of]) if n >= window else np.zeros(0, np.int64)
         self.first = Spans(hashes, _POWERS[0])
         self.hashes = hashes
@@ -116,6 +97,11 @@ class Paths:
     def path_hashes(self) -> np.ndarray:
         return self.first(self.path_start, self.path_start + self.path_count + self.window - 1)
 
+    def digests(self) -> np.ndarray:
+        """32 bits of each text, to tell texts of one key apart."""
+        borders, data = self.text.borders.tolist(), memoryview(self.text.data)
+        return np.array([xxhash.xxh32_intdigest(data[a:b]) for a, b in zip(borders, borders[1:])], np.int64)
+
     def keys(self, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """64 and 32 bits of independent hashes of paths."""
         end = start + count + self.window - 1
@@ -133,7 +119,7 @@ def _least_mers(docs: DataFrame, key: str, text: str, window: int, inner: int) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            made = Paths(batch.column(1).to_pylist(), window, inner)
+            made = Paths(batch.column(1), window, inner)
             if not len(made.least):
                 continue
             doc, path = ids[made.doc_of[made.path_start]], made.path_hashes().view(np.int64)
@@ -165,14 +151,19 @@ def passed(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (bits[slot >> 5] >> (slot & 31).astype(np.uint32)) & np.uint32(1) == 1
 
 
-def _keyed(docs: DataFrame, key: str, text: str, window: int, inner: int, bits) -> DataFrame:
-    """(h, c, doc, th, start, count): paths around k-mers met in two documents, edges where those branch."""
+def _keyed(docs: DataFrame, key: str, text: str, window: int, inner: int, bits, wanted=None) -> DataFrame:
+    """(h, c, doc, at, count, salt): paths around k-mers met in two documents, edges where those branch.
+
+    ``at``: first word in the high half, digest of the text in the low one.  Given the
+    bitmaps ``wanted`` of keys that are met and of hot ones, only rows of the first come,
+    and those of the second are salted.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         agreed, branching = bits.value
         for batch in sliced(batches):
-            ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
-            made = Paths(texts, window, inner)
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            made = Paths(batch.column(1), window, inner)
             if not len(made.least):
                 continue
             edges = passed(branching, made.least)
@@ -186,21 +177,58 @@ def _keyed(docs: DataFrame, key: str, text: str, window: int, inner: int, bits)
             h, c = made.keys(start, count)
             h[int(whole.sum()) :] ^= EDGE
             doc = made.doc_of[start]
-            digest = np.array([xxhash.xxh32_intdigest(t) if t else 0 for t in texts], np.uint32).view(np.int32)
-            yield pa.RecordBatch.from_arrays([_i64(h), pa.array(c), pa.array(ids[doc]), pa.array(digest[doc]), pa.array((start - made.starts[doc]).astype(np.int32)), pa.array(count.astype(np.int32))], ["h", "c", "doc", "th", "start", "count"])
+            at, salt = (start - made.starts[doc]) << 32 | made.digests()[doc], np.zeros(len(h), np.int32)
+            doc = ids[doc]
+            if wanted is not None:
+                met, hot = wanted.value
+                keep = passed(met, h)
+                h, c, doc, at, count = h[keep], c[keep], doc[keep], at[keep], count[keep]
+                salt = np.where(passed(hot, h), (mixed(doc.view(U)) % U(SALTS)).astype(np.int32), np.int32(0))
+            yield pa.RecordBatch.from_arrays([_i64(h), pa.array(c), pa.array(doc), pa.array(at), pa.array(count.astype(np.int32)), pa.array(salt)], ["h", "c", "doc", "at", "count", "salt"])
 
     rows = docs.select(F.col(key).cast("bigint").alias("k"), text).where("k IS NOT NULL")
-    return rows.mapInArrow(run, "h long, c int, doc long, th int, start int, count int")
+    return rows.mapInArrow(run, "h long, c int, doc long, at long, count int, salt int")
 
 
-def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 13, inner: int = 5) -> DataFrame:
-    """(doc, th, start, count): ``count`` windows from word ``start`` that a smaller document has too; th digests the text."""
+def _salted(least: DataFrame, hot) -> DataFrame:
+    """A row of a key for each salt that its places may have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = np.where(passed(hot.value[1], batch.column(0).to_numpy(zero_copy_only=False)), SALTS, 1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(parts)], [*batch.schema.names, "parts"])
+
+    out = least.mapInArrow(run, "h long, c int, lo long, src_at long, parts int")
+    return out.select("h", "c", "lo", "src_at", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
+
+
+DIAGONAL = ["doc", "th", "src_doc", "src_th", "shift"]
+
+
+def matches(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 13, inner: int = 5) -> DataFrame:
+    """(doc, th, src_doc, src_th, shift, start, count): ``count`` windows from word ``start`` that a smaller document has ``shift`` words on."""
     spark: SparkSession = docs.sparkSession
     met = durable(_least_mers(docs, key, text, window, inner).where("lo < hi").select(F.col("m").alias("v"), (F.col("s_lo") == F.col("s_hi")).alias("agreed")))
     bits = spark.sparkContext.broadcast(bitmap(met, "agreed", "NOT agreed"))
-    rows = _keyed(docs, key, text, window, inner, bits)
-    least = rows.groupBy("h", "c").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("h", "c", "lo")
-    return rows.join(least, ["h", "c"]).where("lo < doc").select("doc", "th", "start", "count")
+    least = _keyed(docs, key, text, window, inner, bits).groupBy("h", "c").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min_by("at", "doc").alias("src_at"), F.count(F.lit(1)).alias("n"))
+    least = durable(least.where("lo < hi").select("h", "c", "lo", "src_at", "n"))
+    wanted = spark.sparkContext.broadcast(bitmap(least.select(F.col("h").alias("v"), "n"), "true", f"n > {HOT}"))
+    rows = _keyed(docs, key, text, window, inner, bits, wanted)
+    found = rows.join(_salted(least.drop("n"), wanted), ["h", "c", "salt"]).where("lo < doc")
+    start, src = F.shiftright("at", 32), F.shiftright("src_at", 32)
+    return found.select("doc", F.col("at").bitwiseAND(F.lit(HALF)).alias("th"), F.col("lo").alias("src_doc"), F.col("src_at").bitwiseAND(F.lit(HALF)).alias("src_th"), (src - start).alias("shift"), start.alias("start"), F.col("count").cast("bigint").alias("count"))
+
+
+def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 13, inner: int = 5) -> DataFrame:
+    """(doc, th, src_doc, src_th, shift, start, count): the matches, compacted to the longest runs along both documents."""
+    one = durable(matches(docs, key, text, window, inner).distinct())
+    ends = one.withColumn("end", F.col("start") + F.col("count"))
+    begun = one.join(ends.select(*DIAGONAL, F.col("end").alias("start")), [*DIAGONAL, "start"], "left_anti")
+    ended = ends.join(one.select(*DIAGONAL, F.col("start").alias("end")), [*DIAGONAL, "end"], "left_anti")
+    # Runs of one diagonal do not overlap: the k-th beginning goes with the k-th end.
+    nth = lambda by: F.row_number().over(Window.partitionBy(*DIAGONAL).orderBy(by)).alias("nth")
+    both = begun.select(*DIAGONAL, "start", nth("start")).join(ended.select(*DIAGONAL, "end", nth("end")), [*DIAGONAL, "nth"])
+    return both.select(*DIAGONAL, "start", (F.col("end") - F.col("start")).alias("count"))
 
 
 def covered(n: int, starts: list[int], counts: list[int], window: int) -> np.ndarray:
@@ -211,46 +239,93 @@ def covered(n: int, starts: list[int], counts: list[int], window: int) -> np.nda
     return np.cumsum(change[:n]) > 0
 
 
+def _text_rows(docs: DataFrame, key: str, text: str, later, asked) -> DataFrame:
+    """One pass over the texts: those outside the bitmap ``later`` are finished; texts in ``asked`` are passed on."""
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            ids, words = batch.column(1), Words(batch.column(2))
+            known, ids_ = ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(zero_copy_only=False)
+            open_, sent = passed(later.value, ids_) & known, passed(asked.value, ids_) & known
+            th, texts, digests = [], [], []
+            data = memoryview(words.data)
+            for k, (a, b) in enumerate(zip(words.borders.tolist(), words.borders.tolist()[1:])):
+                one = bytes(data[a:b])
+                th.append(xxhash.xxh32_intdigest(one) if sent[k] else 0)
+                texts.append(one.decode() if sent[k] else None)
+                digests.append(None if open_[k] else hashlib.sha256(b" ".join(one.split())).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(th, pa.int64()), pa.array(texts, pa.string()), pa.array(words.sizes.astype(np.int64)), pa.array(digests, pa.string())], [key, "_k", "th", "_text", "n_words", "kept_sha256"])
+
+    return docs.select(key, F.col(key).cast("bigint").alias("_k"), text).mapInArrow(run, f"`{key}` {kind}, _k long, th long, _text string, n_words long, kept_sha256 string")
+
+
+def _sides(joined: DataFrame, window: int) -> DataFrame:
+    """(src_doc, src_th, s, n, d, doc, th, start): digest of the words of each span, of the later side and, with null doc, of the source's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            rows = []
+            for k, th, t, mine, asked in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                words = t.encode().split()
+                digest = lambda s, n: xxhash.xxh3_64_intdigest(b" ".join(words[s : s + n])) - (1 << 63)  # noqa: E731, B023
+                for m in mine or ():
+                    n = m["count"] + window - 1
+                    rows.append((m["src_doc"], m["src_th"], m["start"] + m["shift"], n, digest(m["start"], n), k, th, m["start"]))
+                for m in asked or ():
+                    n = m["count"] + window - 1
+                    rows.append((k, th, m["s"], n, digest(m["s"], n), None, None, None))
+            names = ["src_doc", "src_th", "s", "n", "d", "doc", "th", "start"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 8)], names)
+
+    return joined.select("_k", "th", "_text", "mine", "asked").where("mine IS NOT NULL OR asked IS NOT NULL").mapInArrow(run, "src_doc long, src_th long, s long, n long, d long, doc long, th long, start long")
+
+
+def _differing(sides: DataFrame) -> DataFrame:
+    """(_k, th, bad): first words of the spans whose two sides differ.
+
+    The digests of a source span's copies are combined by their least and greatest
+    before the shuffle; only where these differ are spans looked at one by one.
+    """
+    at = ["src_doc", "src_th", "s", "n"]
+    unlike = durable(sides.groupBy(*at).agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo <> hi").select(*at))
+    own = sides.where("doc IS NULL").join(unlike, at, "left_semi").select(*at, F.col("d").alias("own"))
+    return sides.where("doc IS NOT NULL").join(unlike, at, "left_semi").join(own, at).where("d <> own").groupBy(F.col("doc").alias("_k"), "th").agg(F.collect_set("start").alias("bad"))
+
+
 def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 13, inner: int = 5) -> DataFrame:
     """Per row: key, n_words, n_removed, and ``kept_sha256`` of the words left, joined by spaces.
 
     Texts without a repeat, known by a bitmap of the others' keys, are finished where
-    they are read; only the others are shuffled to meet their coordinates.
+    they are read; only the others, and the sources of their repeats, are shuffled to
+    meet their coordinates.
     """
-    spark: SparkSession = docs.sparkSession
-    spans = durable(repeats(docs, key, text, window, inner).groupBy("doc", "th").agg(F.collect_list("start").alias("starts"), F.collect_list("count").alias("counts")))
-    bits = spark.sparkContext.broadcast(bitmap(spans.select(F.col("doc").alias("v")), "true")[0])
+    context = docs.sparkSession.sparkContext
+    spans = durable(repeats(docs, key, text, window, inner))
+    sources = spans.select(F.col("src_doc").alias("_k"), F.col("src_th").alias("th"), (F.col("start") + F.col("shift")).alias("s"), "count").distinct()
+    later = context.broadcast(bitmap(spans.select(F.col("doc").alias("v")), "true")[0])
+    asked = context.broadcast(bitmap(spans.select(F.col("doc").alias("v")).unionByName(spans.select(F.col("src_doc").alias("v"))), "true")[0])
+    mine = spans.groupBy(F.col("doc").alias("_k"), "th").agg(F.collect_list(F.struct("src_doc", "src_th", "shift", "start", "count")).alias("mine"))
+    asks = mine.join(sources.groupBy("_k", "th").agg(F.collect_list(F.struct("s", "count")).alias("asked")), ["_k", "th"], "full")
     kind = docs.schema[key].dataType.simpleString()
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
-            ids, texts = batch.column(1), batch.column(2).to_pylist()
-            later = passed(bits.value, ids.fill_null(0).to_numpy(zero_copy_only=False)) & ids.is_valid().to_numpy(zero_copy_only=False)
-            split = [None if l or not t else t.encode().split() for t, l in zip(texts, later)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    ids,
-                    pa.array([xxhash.xxh32_intdigest(t) - (1 << 32) * (xxhash.xxh32_intdigest(t) >> 31) if l and t else 0 for t, l in zip(texts, later)], pa.int32()),
-                    pa.array([t if l else None for t, l in zip(texts, later)], pa.string()),
-                    pa.array([len(w or ()) for w in split], pa.int64()),
-                    pa.array([None if l else hashlib.sha256(b" ".join(w or ())).hexdigest() for w, l in zip(split, later)], pa.string()),
-                ],
-                [key, "_k", "th", "_text", "n_words", "kept_sha256"],
-            )
+    rows = durable(_text_rows(docs, key, text, later, asked))
+    joined = durable(rows.where("_text IS NOT NULL").select(key, "_k", "th", "_text", F.col("kept_sha256").isNull().alias("_open")).join(asks, ["_k", "th"], "left").where("_open OR asked IS NOT NULL"))
+    sides = durable(_sides(joined, window))
+    bad = durable(_differing(sides))
+    release(sides)
+    open_ = joined.where("_open").withColumn("bad", F.lit(None).cast("array<long>")) if bad.isEmpty() else joined.where("_open").join(bad, ["_k", "th"], "left")
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             n_words, n_removed, digests = [], [], []
-            for t, starts, counts in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
+            for t, mine, bad in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
                 words = t.encode().split() if t else []
-                out = covered(len(words), starts or [], counts or [], window)
+                good = [m for m in mine or () if m["start"] not in (bad or ())]
+                out = covered(len(words), [m["start"] for m in good], [m["count"] for m in good], window)
                 n_words.append(len(words))
                 n_removed.append(int(out.sum()))
                 digests.append(hashlib.sha256(b" ".join(w for w, o in zip(words, out.tolist()) if not o)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string())], [key, "n_words", "n_removed", "kept_sha256"])
 
-    rows = docs.select(key, F.col(key).cast("bigint").alias("_k"), text).mapInArrow(read, f"`{key}` {kind}, _k long, th int, _text string, n_words long, kept_sha256 string")
     whole = rows.where("kept_sha256 IS NOT NULL").select(key, "n_words", F.lit(0).cast("bigint").alias("n_removed"), "kept_sha256")
-    met = rows.where("kept_sha256 IS NULL").join(spans.withColumnRenamed("doc", "_k"), ["_k", "th"], "left")
-    return whole.unionByName(met.select(key, "_text", "starts", "counts").mapInArrow(rewrite, f"`{key}` {kind}, n_words long, n_removed long, kept_sha256 string"))
+    return whole.unionByName(open_.select(key, "_text", "mine", "bad").mapInArrow(rewrite, f"`{key}` {kind}, n_words long, n_removed long, kept_sha256 string"))

@@ -606,6 +606,20 @@ def slow_substrings(rows):
     return out
 
 
+def test_spans_that_differ_are_told(spark):
+    """Two later spans of one source, one of which has other words than the source."""
+    rows = [(1, 10, 0, 20, 111, None, None, None), (1, 10, 0, 20, 111, 5, 50, 3), (1, 10, 0, 20, 222, 6, 60, 4), (2, 10, 0, 20, 7, None, None, None), (2, 10, 0, 20, 7, 8, 80, 0)]
+    sides = spark.createDataFrame(rows, "src_doc long, src_th long, s long, n long, d long, doc long, th long, start long")
+    assert [(r["_k"], r.th, r.bad) for r in substrings._differing(sides).collect()] == [(6, 60, [4])]
+
+
+def test_hot_keys_are_salted(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "HOT", 20)
+    rows = [(k, " ".join(f"p{j}" for j in range(30)) + f" own{k}") for k in range(100)] + [(100 + k, f"q{k} " * 30) for k in range(9)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {x.doc_id: (x.n_words, x.n_removed, x.kept_sha256) for x in substrings.remove(df).collect()} == slow_substrings(rows)
+
+
 def test_substring_dedup(spark, docs, empty, corpus):
     import random
 
@@ -620,6 +634,12 @@ def test_substring_dedup(spark, docs, empty, corpus):
     assert {x.doc_id: (x.n_words, x.n_removed, x.kept_sha256) for x in substrings.remove(df).collect()} == slow_substrings(rows)
     rows = [(x.doc_id, x.text) for x in corpus.collect()]
     assert {x.doc_id: (x.n_words, x.n_removed, x.kept_sha256) for x in substrings.remove(corpus).collect()} == slow_substrings(rows)
+    spans = substrings.repeats(df).collect()
+    words = {d: (t or "").split() for d, t in [(x.doc_id, x.text) for x in df.collect()]}
+    assert any(x["count"] > 5 for x in spans)
+    for x in spans:
+        n, s = x["count"] + 12, x["start"] + x["shift"]
+        assert x.src_doc < x.doc and words[x.doc][x["start"] : x["start"] + n] == words[x.src_doc][s : s + n]
     got = [x for x in substrings.remove(docs).collect() if x.doc_id is None]
     assert [(x.n_words, x.n_removed) for x in got] == [(21, 0)]
     assert substrings.remove(docs).count() == docs.count() and substrings.remove(empty).count() == 0
