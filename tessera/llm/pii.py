@@ -7,11 +7,14 @@ makes the labels of a document agree; tokens under base spans are observed.  A t
 that comes out as personal data with probability ``sure`` or more adds a span.
 
 Skip edges link each token with the next one like it, so their number is linear in
-the tokens.  Node weights are fitted here, on ``examples`` generated tokens of each
-kind (a bounded, fixed sample; no corpus row is read for it).
-
-Null text is the empty text.  Repeated rows are treated alike; an empty table gives
-an empty result; only the key and text columns are read.
+the tokens.  A node's features are the shape of its token and the kind of thing that the
+word before speaks of.  Node weights and the two potentials are fitted together, by
+pseudo-likelihood, on ``examples`` generated texts (a bounded, fixed sample; no corpus
+row is read for it).
+
+Null text is the empty text.  Texts and tokens of any length are judged whole, base
+spans in linear time.  Repeated rows are treated alike; an empty table gives an empty
+result; only the key and text columns are read.
 """
 
 from __future__ import annotations
@@ -40,6 +43,8 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 MARK = re.compile(r"[0-9@]")
 TOKEN_END = re.compile(r"[\x20\x09-\x0D]|\Z")
+#: Digits grouped as in telephone numbers.
+GROUPED = re.compile(r"(?:\+[0-9]{1,3}[-.])?[0-9]{3}[-.][0-9]{3}[-.][0-9]{4}")
 EDGE_CHARS = ".,;:!?()[]{}<>\"'|"
 
 
@@ -105,46 +110,142 @@ def shape(token: str) -> np.ndarray:
     dotted = len(parts) == 4 and all(p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts)
     return np.array(
         [1, at == 1, at == 1 and dots > 0, at > 1, digits == 0, digits in (1, 2), digits in (3, 4), 5 <= digits <= 6, 7 <= digits <= 8, 9 <= digits <= 12, 13 <= digits <= 19, digits > 19]
-        + [letters > 0, letters > digits, dotted, dots == 0, dots in (1, 2), dots == 3, dots > 3, dashes == 1, dashes == 2, dashes > 2, token[:1] == "+", "(" in token, any(c in "=/:_#$%" for c in token), 13 <= digits <= 19 and letters == 0 and luhn(only)],
+        + [letters > 0, letters > digits, dotted, dots == 0, dots in (1, 2), dots == 3, dots > 3, dashes == 1, dashes == 2, dashes > 2, token[:1] == "+", "(" in token, any(c in "=/:_#$%" for c in token), 13 <= digits <= 19 and letters == 0 and luhn(only), GROUPED.fullmatch(token) is not None],
         dtype=np.float64,
     )
 
 
-def generated(n: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """Labelled tokens to fit the node weights on: ``n`` of each kind, and ``4 n`` others."""
+#: Words that say what comes after them.
+CUES = {
+    "email": 0, "mail": 0, "e-mail": 0, "contact": 0, "write": 0, "ip": 1, "host": 1, "server": 1, "address": 1, "login": 1, "card": 2, "visa": 2, "mastercard": 2, "pay": 2, "account": 2,
+    "phone": 3, "tel": 3, "call": 3, "mobile": 3, "fax": 3, "number": 3, "order": 4, "id": 4, "page": 4, "year": 4, "in": 4, "ref": 4, "item": 4, "version": 4, "of": 4,
+}
+
+
+def word_before(text: str, low: int) -> str:
+    """The word before a token, if it may be a cue."""
+    said = text[max(0, low - 24) : low].split()
+    return said[-1].strip(EDGE_CHARS).lower() if said else ""
+
+
+def features(token: str, before: str) -> np.ndarray:
+    cue = np.zeros(OTHER + 1)
+    if before in CUES:
+        cue[CUES[before]] = 1
+    return np.concatenate((shape(token), cue))
+
+
+def generated(n: int, seed: int = 7) -> list[tuple[str, list[tuple[int, int, int]]]]:
+    """``n`` texts with the spans (kind, start, end) of the personal data in them.
+
+    Half of the data comes again, whole or in a barer form that only the first mention
+    explains; numbers that are nothing personal come again too.
+    """
     r = random.Random(seed)
     d = lambda k: "".join(r.choice("0123456789") for _ in range(k))
     w = lambda k: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(k))
+    cues = [[c for c, k in CUES.items() if k == kind] for kind in range(OTHER + 1)]
 
     def card() -> str:
         x = r.choice("3456") + d(r.choice((12, 13, 14, 14, 14)))
         return next(x + str(c) for c in range(10) if luhn(x + str(c)))
 
-    rows: list[tuple[str, int]] = []
+    def phone() -> tuple[str, str]:
+        a, b, c = d(3), d(3), d(4)
+        return r.choice((f"+1-{a}-{b}-{c}", f"+44.{a}.{b}.{c}", f"{a}-{b}-{c}", f"+1{a}{b}{c}")), a + b + c
+
+    def thing() -> tuple[int, str, str]:
+        """A kind, a way to write the thing, and a barer one."""
+        kind = r.choice((0, 1, 2, 3, 4, 4, 4, 4))
+        if kind == 0:
+            name = w(r.randint(2, 8)) + r.choice(("", ".", "_")) + r.choice(("x", d(2)))
+            return 0, name + "@" + w(5) + "." + r.choice(("com", "org", "net", "de")), name + "@" + w(4)
+        if kind == 1:
+            x = ".".join(str(r.randint(0, 255)) for _ in range(4))
+            return 1, x, x
+        if kind == 2:
+            x = card()
+            return 2, x, "-".join(x[k : k + 4] for k in range(0, len(x), 4))
+        if kind == 3:
+            return 3, *phone()
+        x = r.choice((d(1), d(2), d(4), d(r.randint(5, 12)), d(10), d(r.randint(13, 19)), d(r.randint(20, 40)), w(3) + d(2), w(8) + "=" + d(9) + w(4), f"{d(1)}.{d(2)}", f"{d(1)}.{d(1)}.{d(2)}", f"{d(4)}-{d(2)}-{d(2)}", f"{d(2)}:{d(2)}", f"${d(3)}.{d(2)}", "@" + w(6), f"{d(3)}-{d(4)}", f"{d(3)}/{d(4)}", f"{w(6)}.{d(2)}"))
+        return 4, x, x
+
+    out = []
     for _ in range(n):
-        rows.append((w(r.randint(2, 8)) + r.choice(("", ".", "_")) + r.choice(("", d(2))) + "@" + w(5) + "." + r.choice(("com", "org", "net", "de")), 0))
-        rows.append((".".join(str(r.randint(0, 255)) for _ in range(4)), 1))
-        rows.append((card(), 2))
-        rows.append((r.choice(("+1", "+44", "")) + r.choice(("-", ".")).join((d(3), d(3), d(4))), 3))
-        for k in range(4):
-            rows.append((r.choice((d(1), d(2), d(4), d(r.randint(5, 12)), d(r.randint(13, 19)), d(r.randint(20, 40)), w(3) + d(2), w(8) + "=" + d(9) + w(4), f"{d(1)}.{d(2)}", f"{d(1)}.{d(1)}.{d(2)}", f"{d(4)}-{d(2)}-{d(2)}", f"{d(2)}:{d(2)}", f"${d(3)}.{d(2)}", "@" + w(6), f"{d(3)}-{d(4)}", f"{d(3)}/{d(4)}", f"{w(6)}.{d(2)}")), OTHER))
-    return np.array([shape(t) for t, _ in rows]), np.array([k for _, k in rows])
+        said = []
+        for _ in range(r.randint(2, 6)):
+            kind, first, bare = thing()
+            said.append((kind, first))
+            if r.random() < 0.5:
+                said.append((kind, r.choice((first, bare, bare))))
+        r.shuffle(said)
+        text, spans = "", []
+        for kind, value in said:
+            for _ in range(r.randint(0, 4)):
+                text += w(r.randint(2, 9)) + " "
+            if r.random() < 0.4:
+                text += r.choice(cues[kind]) + r.choice((" ", ": "))
+            if kind != OTHER:
+                spans.append((kind, len(text), len(text) + len(value)))
+            text += value + r.choice((" ", ", ", ". "))
+        out.append((text, spans))
+    return out
 
 
-@lru_cache(maxsize=1)
-def node_weights(examples: int = 400, steps: int = 400, ridge: float = 1e-3) -> np.ndarray:
-    """Multinomial logistic weights, by plain gradient descent; the same on every worker."""
-    x, y = generated(examples)
-    goal, w = np.eye(OTHER + 1)[y], np.zeros((x.shape[1], OTHER + 1))
-    for _ in range(steps):
-        p = np.exp(x @ w - (x @ w).max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        w -= 0.5 * (x.T @ (p - goal) / len(x) + ridge * w)
-    return w
+def field_of(text: str, spans: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int, int | None]], list[tuple[int, int]], list[int]]:
+    """The nodes of a text, as (start, end, kind of the span they lie in, if any), its edges, and of each edge 0 for a chain, 1 for a skip."""
+    taken = sorted((s, e, kind) for kind, s, e in spans)
+    at, rows, edges, kinds, last = 0, [], [], [], {}
+    for low, high in marked_tokens(text):
+        while at < len(taken) and taken[at][1] <= low:
+            at += 1
+        kind = next((t[2] for t in taken[at : at + 4] if t[0] < high and t[1] > low), None)
+        i = len(rows)
+        rows.append((low, high, kind))
+        if i and low - rows[i - 1][1] <= 2:
+            edges.append((i - 1, i))
+            kinds.append(0)
+        if like := likeness(text[low:high] if kind is None or kind != 3 else span_text(text, taken, low, high)):
+            if like in last:
+                edges.append((last[like], i))
+                kinds.append(1)
+            last[like] = i
+    return rows, edges, kinds
 
 
-#: Log potentials: neighbours weakly, repeats strongly prefer one label; a label change costs nothing more.
-CHAIN, SKIP = 0.3, 2.5
+@lru_cache(maxsize=1)
+def fitted(examples: int = 1500, steps: int = 400, ridge: float = 2e-4) -> tuple[np.ndarray, np.ndarray]:
+    """Node weights, and the log potentials of chains and skips, by gradient ascent on the pseudo-likelihood; the same on every worker.
+
+    Each node is predicted from its features and its neighbours' true labels: an edge
+    adds its potential to the score of the neighbour's label.
+    """
+    x, y, near = [], [], []
+    for text, spans in generated(examples):
+        rows, edges, kinds = field_of(text, spans)
+        labels = [OTHER if kind is None else kind for *_, kind in rows]
+        around = np.zeros((len(rows), 2, OTHER + 1))
+        for (i, j), kind in zip(edges, kinds):
+            around[i, kind, labels[j]] += 1
+            around[j, kind, labels[i]] += 1
+        x += [features(text[a:b], word_before(text, a)) for a, b, _ in rows]
+        y += labels
+        near.append(around)
+    x, y, near = np.array(x), np.array(y), np.concatenate(near)
+    goal, w, edge = np.eye(OTHER + 1)[y], np.zeros((x.shape[1], OTHER + 1)), np.zeros(2)
+    mean, square = [np.zeros_like(w), np.zeros_like(edge)], [np.zeros_like(w), np.zeros_like(edge)]
+    for step in range(1, steps + 1):
+        score = x @ w + near[:, 0] * edge[0] + near[:, 1] * edge[1]
+        p = np.exp(score - score.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        off = goal - p
+        slopes = x.T @ off / len(x) - ridge * w, np.array([(near[:, k] * off).sum() for k in (0, 1)]) / len(x) - ridge * edge
+        for k, (value, slope) in enumerate(zip((w, edge), slopes)):  # steps scaled by the slopes' running size
+            mean[k] = 0.9 * mean[k] + 0.1 * slope
+            square[k] = 0.99 * square[k] + 0.01 * slope**2
+            value += 0.1 * (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.99**step)) + 1e-8)
+    return w, edge
 
 
 def messages(scores: np.ndarray, edges: np.ndarray, strength: np.ndarray, rounds: int = 8, damp: float = 0.3) -> np.ndarray:
@@ -199,43 +300,33 @@ def marked_tokens(text: str) -> list[tuple[int, int]]:
     return found
 
 
-def added_spans(texts: list[str | None], base: list[list[list[tuple[int, int]]]], sure: float = 0.9) -> list[list[tuple[int, int, int]]]:
+def added_spans(texts: list[str | None], base: list[list[list[tuple[int, int]]]], model: tuple[np.ndarray, np.ndarray] | None = None, sure: float = 0.9) -> list[list[tuple[int, int, int]]]:
     """(kind, start, end) that the field adds to each text's base spans."""
     added: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     scores, edges, strength, where = [], [], [], []
-    w, known = node_weights(), {}
+    (w, potential), known = model or fitted(), {}
     for k, text in enumerate(texts):
         if not text or not MARK.search(text):
             continue
-        taken = sorted((s, e, kind) for kind, spans in enumerate(base[k]) for s, e in spans)
-        tokens, at, rows = marked_tokens(text), 0, []
-        for low, high in tokens:
-            while at < len(taken) and taken[at][1] <= low:
-                at += 1
-            kind = next((t[2] for t in taken[at : at + 4] if t[0] < high and t[1] > low), None)
-            rows.append((low, high, kind))
+        rows, between, kinds = field_of(text, [(kind, s, e) for kind, spans in enumerate(base[k]) for s, e in spans])
         if all(kind is not None for *_, kind in rows):
             continue  # nothing is left to label
-        first, last_like = len(scores), {}
-        for i, (low, high, kind) in enumerate(rows):
-            token = text[low:high]
+        first = len(scores)
+        edges += [(first + i, first + j) for i, j in between]
+        strength += [potential[e] for e in kinds]
+        for low, high, kind in rows:
             if kind is not None:
                 row = np.full(OTHER + 1, -20.0)
                 row[kind] = 20.0
-            elif (row := known.get(token)) is None:
-                row = shape(token) @ w
-                if len(known) < 50_000:
-                    known[token] = row
+            else:
+                token, before = text[low:high], word_before(text, low)
+                before = before if before in CUES else ""
+                if (row := known.get((token, before))) is None:
+                    row = features(token, before) @ w
+                    if len(known) < 50_000:
+                        known[token, before] = row
             scores.append(row)
             where.append((k, low, high, kind))
-            if i and low - rows[i - 1][1] <= 2:
-                edges.append((first + i - 1, first + i))
-                strength.append(CHAIN)
-            if like := likeness(token if kind is None or kind != 3 else span_text(text, taken, low, high)):
-                if like in last_like:
-                    edges.append((last_like[like], first + i))
-                    strength.append(SKIP)
-                last_like[like] = first + i
     if scores:
         p = messages(np.array(scores), np.array(edges, dtype=np.int64).reshape(-1, 2), np.array(strength))
         for (k, low, high, kind), row in zip(where, p):
@@ -257,11 +348,13 @@ def written(spans: list[tuple[int, int, int]]) -> str:
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: key, the number of base spans of each kind, their digest, and all spans."""
 
+    model = fitted()  # some hundred numbers; tasks get them with their code
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             texts = batch.column(1).to_pylist()
             base = [base_spans(t) for t in texts]
-            more = added_spans(texts, base)
+            more = added_spans(texts, base, model)
             flat = [[(k, s, e) for k, spans in enumerate(b) for s, e in spans] for b in base]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array([len(b[k]) for b in base], pa.int64()) for k in range(4)), pa.array([hashlib.sha256(written(f).encode()).hexdigest() for f in flat]), pa.array([written(f + m) for f, m in zip(flat, more)], pa.string())],

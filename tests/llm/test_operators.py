@@ -378,9 +378,54 @@ def test_field_makes_labels_agree(docs, empty):
     assert pii.find(empty).count() == 0
 
 
+def test_marginals_by_enumeration():
+    """On a chain and a star message passing is exact; with a loop it agrees on the label."""
+    import itertools
+
+    r = np.random.default_rng(3)
+
+    def exact(scores, edges, strength):
+        out, k = np.zeros_like(scores), scores.shape[1]
+        for labels in itertools.product(range(k), repeat=len(scores)):
+            v = np.exp(sum(scores[i, x] for i, x in enumerate(labels)) + sum(s for (a, b), s in zip(edges, strength) if labels[a] == labels[b]))
+            for i, x in enumerate(labels):
+                out[i, x] += v
+        return out / out.sum(1, keepdims=True)
+
+    for edges in ([(0, 1), (1, 2), (2, 3)], [(0, 1), (0, 2), (0, 3)], []):
+        for _ in range(20):
+            scores, strength = r.normal(size=(4, 3)) * 2, np.abs(r.normal(size=len(edges))) * 3
+            got = pii.messages(scores, np.array(edges, np.int64).reshape(-1, 2), strength, rounds=80)
+            assert np.allclose(got, exact(scores, edges, strength), atol=1e-6)
+    for _ in range(40):
+        scores, strength = r.normal(size=(4, 3)) * 2, np.full(4, 1.0)
+        edges = [(0, 1), (1, 2), (2, 3), (0, 3)]
+        got, want = pii.messages(scores, np.array(edges), strength, rounds=80), exact(scores, edges, strength)
+        clear = np.sort(want, 1)[:, -1] > 0.8
+        assert (got.argmax(1) == want.argmax(1))[clear].all()
+
+
+def test_potentials_are_fitted_and_mentions_found():
+    weights, (chain, skip) = pii.fitted()
+    assert skip > 2 and skip > chain
+    found = planted = wrong = 0
+    for text, spans in pii.generated(300, seed=99):
+        base = pii.base_spans(text)
+        known = [s for kind in base for s in kind]
+        got = pii.added_spans([text], [base])[0]
+        for kind, s, e in spans:
+            if not any(a < e and b > s for a, b in known):
+                planted += 1
+                found += any(k == kind and a < e and b > s for k, a, b in got)
+        wrong += sum(not any(s < b and e > a for _, s, e in spans) for _, a, b in got)
+    assert planted > 100 and found >= 0.9 * planted and wrong <= 0.02 * planted
+    text = "+1 555-123-4567 then later 5551234567 again, but 5559876543 is no repeat"
+    assert pii.added_spans([text], [pii.base_spans(text)]) == [[(3, 27, 37)]]
+
+
 def test_field_judges_whole_tokens(monkeypatch):
     seen, shape = [], pii.shape
-    pii.node_weights()
+    pii.fitted()
     monkeypatch.setattr(pii, "shape", lambda token: seen.append(token) or shape(token))
     token = "a1" + "/b" * 200 + "@c.de-4556"
     pii.added_spans([token], [pii.base_spans("")])
