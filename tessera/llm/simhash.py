@@ -5,7 +5,9 @@ of two vectors never exceeds the Hamming distance of their fingerprints.  Counts
 kept in unary (the set bits of each segment moved to its low end), which makes that
 distance the Hamming distance of the unary words.  The axes form ``bands``; within
 distance ``d`` at most ``d`` bands differ, so two near vectors share a cell of the
-grid over some ``bands - d`` of the bands.  Fingerprints that share a cell are held
+grid over some ``bands - d`` of the bands: the range join becomes equality joins, one for
+each choice of bands.  Their number grows with the logarithm of the number of
+fingerprints, so that cells stay small.  Fingerprints that share a cell are held
 against each other in blocks: first by Manhattan distance, then exactly.
 
 Equal fingerprints are one row until the end.  Cells with more than ``block``
@@ -20,6 +22,7 @@ empty table gives an empty result.  Only the key and text columns are read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -82,6 +85,11 @@ def unary_words(fp: np.ndarray) -> np.ndarray:
     return ((fp | over) & low) | ((fp & over & low) << np.uint64(1))
 
 
+def bands_for(n: int, distance: int = 3, least: int = 6, most: int = 16) -> int:
+    """The fewest bands whose cells tell ``n`` fingerprints apart: 32 axes of three counts have 48 bits, of which a cell keeps its bands' share."""
+    return next((b for b in range(max(least, distance + 1), most) if 48 * (b - distance) / b >= math.log2(max(2, n))), most)
+
+
 def cells(fps: DataFrame, distance: int, bands: int) -> DataFrame:
     """(cell, fp): each fingerprint in its cell of every grid over ``bands - distance`` bands."""
     edges = [round(32 * k / bands) * 2 for k in range(bands + 1)]
@@ -153,11 +161,11 @@ def links(fps: DataFrame, distance: int = 3, bands: int = 6, block: int = 2048)
     return dealt.repartition("block").sortWithinPartitions("block").mapInArrow(run, "a long, b long")
 
 
-def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = 3, width: int = 3, bands: int = 6) -> DataFrame:
+def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = 3, width: int = 3, bands: int | None = None) -> DataFrame:
     """Per row: key, ``fingerprint`` (hex) and ``component_id``, the least key reachable over links of ``distance`` bits."""
     rows = durable(fingerprints(docs, key, text, width))
     distinct = durable(rows.groupBy("fp").agg(F.min(key).alias("_first")))
-    found = components(links(distinct.select("fp"), distance, bands))
+    found = components(links(distinct.select("fp"), distance, bands or bands_for(distinct.count(), distance)))
     members = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
     least = distinct.join(members.withColumnRenamed("node", "fp"), "fp").groupBy("root").agg(F.min("_first").alias("_least"))
     named = members.join(least, "root").select(F.col("node").alias("fp"), "_least")

@@ -7,8 +7,10 @@ ones).  The model's pieces are the entries of a public rank file; their
 probabilities follow their rank by Zipf's law, single bytes ranking last, so that they
 serve as a fallback.
 
-Null text is the empty text, with no tokens.  Repeated rows are counted alike; an empty
-table gives an empty result; only the key and text columns are read.
+Null text is the empty text, with no tokens.  Texts of any length are read whole; a
+pre-token of more than ``LONG`` bytes shares no prefix and keeps only the pieces that are
+open, so memory does not grow with it.  Repeated rows are counted alike; an empty table
+gives an empty result; only the key and text columns are read.
 """
 
 from __future__ import annotations
@@ -25,6 +27,10 @@ from .bpe import load_ranks
 from .common import sliced
 
 
+#: Bytes beyond which a pre-token is counted for itself, and not kept.
+LONG = 1024
+
+
 def log_probabilities(ranks: dict[bytes, int], shift: float = 2.7) -> dict[bytes, float]:
     """Zipf-Mandelbrot by rank; single bytes come after all others."""
     order = sorted(ranks, key=lambda b: (len(b) == 1, ranks[b]))
@@ -48,13 +54,33 @@ class SharedTrie:
                 node = down
             self.score[node] = score
 
+    def step(self, held: list[tuple[int, float, int]], byte: int) -> tuple[list[tuple[int, float, int]], int]:
+        """The open pieces after one more byte, and minus the count of the best segmentation up to it."""
+        child, score, inner = self.child, self.score, self.inner
+        open_, top, count = [], -math.inf, 0
+        for node, s, n in held:
+            if (node := child.get(node << 8 | byte)) is not None:
+                piece = score[node]
+                if piece is not None and ((v := s + piece) > top or (v == top and n - 1 > count)):
+                    top, count = v, n - 1
+                if inner[node]:
+                    open_.append((node, s, n))
+        open_.append((0, top, count))
+        return open_, count
+
+    def alone(self, key: bytes) -> int:
+        """The count of one key, holding no more than the pieces open at one byte."""
+        held, count = [(0, 0.0, 0)], 0
+        for byte in key:
+            held, count = self.step(held, byte)
+        return -count
+
     def counts(self, keys: Iterable[bytes]) -> Iterator[tuple[bytes, int]]:
         """Keys in byte order, with their counts.
 
         ``held[d]``: the pieces still open after ``d`` bytes, as (node, score and minus
         count of the best segmentation before the piece).
         """
-        child, score, inner = self.child, self.score, self.inner
         held: list[list[tuple[int, float, int]]] = [[(0, 0.0, 0)]]
         best: list[int] = [0]
         last = b""
@@ -66,15 +92,7 @@ class SharedTrie:
                 same += 1
             del held[same + 1 :], best[same + 1 :]
             for byte in key[same:]:
-                open_, top, count = [], -math.inf, 0
-                for node, s, n in held[-1]:
-                    if (node := child.get(node << 8 | byte)) is not None:
-                        piece = score[node]
-                        if piece is not None and ((v := s + piece) > top or (v == top and n - 1 > count)):
-                            top, count = v, n - 1
-                        if inner[node]:
-                            open_.append((node, s, n))
-                open_.append((0, top, count))
+                open_, count = self.step(held[-1], byte)
                 held.append(open_)
                 best.append(-count)
             last = key
@@ -97,9 +115,14 @@ class Counter:
         if len(self.kept) + len(new) > self.max_kept:
             self.kept.clear()
             new = set().union(*found)
-        self.kept.update((k.decode(), n) for k, n in self.trie.counts(x.encode() for x in new))
+        long = {x for x in new if len(x) > LONG}
+        self.kept.update((k.decode(), n) for k, n in self.trie.counts(x.encode() for x in new - long))
+        self.kept.update((x, self.trie.alone(x.encode())) for x in long)
         get = self.kept.__getitem__
-        return [(len(f), sum(map(get, f))) for f in found]
+        out = [(len(f), sum(map(get, f))) for f in found]
+        for x in long:
+            del self.kept[x]
+        return out
 
 
 @lru_cache(maxsize=2)

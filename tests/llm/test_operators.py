@@ -520,6 +520,33 @@ def test_token_counts(docs, empty):
         found = regex.findall(public_tokenizers.PATTERN, (BASE if r.doc_id is None else TEXTS[r.doc_id]) or "")
         assert (r.n_pretokens, r.n_tokens) == (len(found), sum(slow(x.encode()) * n for x, n in collections.Counter(found).items()))
     assert tokencounts.count(empty, VOCABULARY, public_tokenizers.PATTERN).count() == 0
+    made = tokencounts.counter(VOCABULARY, public_tokenizers.PATTERN)
+    run = "abcdefgh" * 40_000  # one pre-token of 320,000 bytes
+    assert made.count([run, run[:1000]]) == [(1, made.trie.alone(run.encode())), (1, slow(run[:1000].encode()))] and run not in made.kept
+    assert made.trie.alone(run[:1000].encode()) == slow(run[:1000].encode())
+
+
+CLASHES = ["n_words", "kept", "fingerprint", "component_id", "spans", "ids", "n_tokens", "verdict", "host", "_k", "k", "t", "th", "at", "_text", "_doc", "_words", "_host", "_gone", "doc", "line", "h", "c", "fp", "item_id", "decoded"]
+
+
+def test_extra_columns_with_the_names_of_results(spark, docs, empty):
+    import corpus_pipeline
+
+    for frame in (docs, empty):
+        wide = frame.drop("_k").selectExpr("*", *(f"'x' AS `{n}`" for n in CLASHES))
+        bench = spark.createDataFrame([(1, BASE)], "item_id bigint, text string").selectExpr("*", "'y' AS id", "'z' AS k")
+        n = wide.count()
+        assert quality.judge(wide).count() == n and pii.find(wide).count() == n and simhash.groups(wide).count() == n and substrings.remove(wide).count() == n
+        assert bpe.encode_digests(wide, VOCABULARY, public_tokenizers.PATTERN).count() == n and tokencounts.count(wide, VOCABULARY, public_tokenizers.PATTERN).count() == n
+        assert decontaminate.contaminated(wide, bench).columns[:2] == ["doc_id", "item_id"]
+        for k, stage in enumerate((quality.keep, lines.remove, simhash.one_of_each, lambda d: decontaminate.clean(d, bench))):
+            out = stage(wide)
+            assert out.columns == wide.columns, k
+            assert out.where(" OR ".join(f"`{c}` <> 'x'" for c in CLASHES)).count() == 0
+        last = corpus_pipeline.encode_and_decode(spark, wide, "")
+        assert last.columns[: len(wide.columns)] == wide.columns and len(last.columns) == len(wide.columns) + 2 and last.count() == n
+    pages = spark.createDataFrame([(1, "http://a.com/x", "<p>x", "e", "f")], "page_id bigint, url string, html string, host string, text string")
+    assert urls.judge(pages).first().host == "a.com" and html.extract(pages).first().text == "x"
 
 
 # --- 8 ---------------------------------------------------------------------------------------
@@ -580,6 +607,18 @@ def test_links_by_brute_force(spark, block):
     assert pairs(got) == pairs(want)
 
 
+def test_more_bands_give_the_same_links(spark):
+    from tessera.llm.graph import components
+
+    assert [simhash.bands_for(n) for n in (0, 1, 10**7, 10**8, 10**9, 10**12)] == [6, 6, 6, 7, 8, 16]
+    r = np.random.default_rng(12)
+    base = r.integers(0, 2**63, 60, dtype=np.uint64)
+    fps = {int(b) ^ sum(1 << int(k) for k in r.choice(64, r.integers(0, 6), replace=False)) for b in base for _ in range(6)}
+    df = spark.createDataFrame([(simhash.signed(f),) for f in fps], "fp long")
+    made = [sorted((x.node, x.root) for x in components(simhash.links(df, bands=b)).collect()) for b in (6, 8, 10)]
+    assert made[0] and made[0] == made[1] == made[2]
+
+
 # --- 9 -----------------------------------------------------------------------------------------
 
 
