@@ -33,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import durable, release, sliced
@@ -202,11 +202,8 @@ def _salted(least: DataFrame, hot) -> DataFrame:
     return out.select("h", "c", "lo", "src_at", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
 
 
-DIAGONAL = ["doc", "th", "src_doc", "src_th", "shift"]
-
-
 def matches(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 13, inner: int = 5) -> DataFrame:
-    """(doc, th, src_doc, src_th, shift, start, count): ``count`` windows from word ``start`` that a smaller document has ``shift`` words on."""
+    """(doc, th, src_doc, src_at, place): matches; ``place`` has the first word in its high half, the number of windows in the low one."""
     spark: SparkSession = docs.sparkSession
     met = durable(_least_mers(docs, key, text, window, inner).where("lo < hi").select(F.col("m").alias("v"), (F.col("s_lo") == F.col("s_hi")).alias("agreed")))
     bits = spark.sparkContext.broadcast(bitmap(met, "agreed", "NOT agreed"))
@@ -215,20 +212,41 @@ def matches(docs: DataFrame, key: str = "doc_id", text: str = "text", window: in
     wanted = spark.sparkContext.broadcast(bitmap(least.select(F.col("h").alias("v"), "n"), "true", f"n > {HOT}"))
     rows = _keyed(docs, key, text, window, inner, bits, wanted)
     found = rows.join(_salted(least.drop("n"), wanted), ["h", "c", "salt"]).where("lo < doc")
-    start, src = F.shiftright("at", 32), F.shiftright("src_at", 32)
-    return found.select("doc", F.col("at").bitwiseAND(F.lit(HALF)).alias("th"), F.col("lo").alias("src_doc"), F.col("src_at").bitwiseAND(F.lit(HALF)).alias("src_th"), (src - start).alias("shift"), start.alias("start"), F.col("count").cast("bigint").alias("count"))
+    place = F.shiftleft(F.shiftright("at", 32), 32).bitwiseOR(F.col("count").cast("bigint"))
+    return found.select("doc", F.col("at").bitwiseAND(F.lit(HALF)).alias("th"), F.col("lo").alias("src_doc"), "src_at", place.alias("place"))
+
+
+SPAN = ("src_doc", "src_th", "shift", "start", "count")
+
+
+def compacted(src_doc: np.ndarray, src_at: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
+    """Matches of one text to the columns of SPAN: each begins where no match goes before on its diagonal, and takes in all successors."""
+    start, count = place >> 32, place & HALF
+    shift, th = (src_at >> 32) - start, src_at & HALF
+    order = np.lexsort((start, shift, th, src_doc))
+    src_doc, th, shift, start, end = src_doc[order], th[order], shift[order], start[order], (start + count)[order]
+    # Rows that repeat a key and its text repeat their matches: successors may begin at or before an end.
+    begins = np.ones(len(start), bool)
+    begins[1:] = (src_doc[1:] != src_doc[:-1]) | (th[1:] != th[:-1]) | (shift[1:] != shift[:-1]) | (start[1:] > end[:-1])
+    at = np.flatnonzero(begins)
+    end = np.maximum.reduceat(end, at) if len(at) else end
+    return [src_doc[at], th[at], shift[at], start[at], end - start[at]]
 
 
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 13, inner: int = 5) -> DataFrame:
-    """(doc, th, src_doc, src_th, shift, start, count): the matches, compacted to the longest runs along both documents."""
-    one = durable(matches(docs, key, text, window, inner).distinct())
-    ends = one.withColumn("end", F.col("start") + F.col("count"))
-    begun = one.join(ends.select(*DIAGONAL, F.col("end").alias("start")), [*DIAGONAL, "start"], "left_anti")
-    ended = ends.join(one.select(*DIAGONAL, F.col("start").alias("end")), [*DIAGONAL, "end"], "left_anti")
-    # Runs of one diagonal do not overlap: the k-th beginning goes with the k-th end.
-    nth = lambda by: F.row_number().over(Window.partitionBy(*DIAGONAL).orderBy(by)).alias("nth")
-    both = begun.select(*DIAGONAL, "start", nth("start")).join(ended.select(*DIAGONAL, "end", nth("end")), [*DIAGONAL, "nth"])
-    return both.select(*DIAGONAL, "start", (F.col("end") - F.col("start")).alias("count"))
+    """(doc, th, mine): the matches of each text, compacted to the longest runs along both documents."""
+    found = matches(docs, key, text, window, inner).groupBy("doc", "th").agg(F.collect_list(F.struct("src_doc", "src_at", "place")).alias("m"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            m = batch.column(2)
+            ends, values = m.offsets.to_numpy(), [x.to_numpy() for x in m.values.flatten()]
+            spans = [compacted(*(v[a:b] for v in values)) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+            made = pa.StructArray.from_arrays([pa.array(np.concatenate(c)) for c in zip(*spans)], SPAN)
+            mine = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(s[0]) for s in spans)]), pa.int32()), made)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), mine], ["doc", "th", "mine"])
+
+    return found.mapInArrow(run, f"doc long, th long, mine array<struct<{', '.join(f'{n}: long' for n in SPAN)}>>")
 
 
 def covered(n: int, starts: list[int], counts: list[int], window: int) -> np.ndarray:
@@ -301,12 +319,12 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
     meet their coordinates.
     """
     context = docs.sparkSession.sparkContext
-    spans = durable(repeats(docs, key, text, window, inner))
+    mine = durable(repeats(docs, key, text, window, inner))
+    spans = mine.select("doc", "th", F.inline("mine"))
     sources = spans.select(F.col("src_doc").alias("_k"), F.col("src_th").alias("th"), (F.col("start") + F.col("shift")).alias("s"), "count").distinct()
     later = context.broadcast(bitmap(spans.select(F.col("doc").alias("v")), "true")[0])
     asked = context.broadcast(bitmap(spans.select(F.col("doc").alias("v")).unionByName(spans.select(F.col("src_doc").alias("v"))), "true")[0])
-    mine = spans.groupBy(F.col("doc").alias("_k"), "th").agg(F.collect_list(F.struct("src_doc", "src_th", "shift", "start", "count")).alias("mine"))
-    asks = mine.join(sources.groupBy("_k", "th").agg(F.collect_list(F.struct("s", "count")).alias("asked")), ["_k", "th"], "full")
+    asks = mine.withColumnRenamed("doc", "_k").join(sources.groupBy("_k", "th").agg(F.collect_list(F.struct("s", "count")).alias("asked")), ["_k", "th"], "full")
     kind = docs.schema[key].dataType.simpleString()
     rows = durable(_text_rows(docs, key, text, later, asked))
     joined = durable(rows.where("_text IS NOT NULL").select(key, "_k", "th", "_text", F.col("kept_sha256").isNull().alias("_open")).join(asks, ["_k", "th"], "left").where("_open OR asked IS NOT NULL"))

@@ -718,7 +718,7 @@ def test_substring_dedup(spark, docs, empty, corpus):
     assert {x.doc_id: (x.n_words, x.n_removed, x.kept_sha256) for x in substrings.remove(df).collect()} == slow_substrings(rows)
     rows = [(x.doc_id, x.text) for x in corpus.collect()]
     assert {x.doc_id: (x.n_words, x.n_removed, x.kept_sha256) for x in substrings.remove(corpus).collect()} == slow_substrings(rows)
-    spans = substrings.repeats(df).collect()
+    spans = substrings.repeats(df).select("doc", F.inline("mine")).collect()
     words = {d: (t or "").split() for d, t in [(x.doc_id, x.text) for x in df.collect()]}
     assert any(x["count"] > 5 for x in spans)
     for x in spans:
