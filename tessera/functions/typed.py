@@ -69,7 +69,8 @@ def literal(value) -> V:
     if isinstance(value, decimal.Decimal):
         return V(F.lit(value).cast("decimal(38,9)"), T.DecimalType(38, 9))
     if isinstance(value, datetime.datetime):
-        return V(F.lit(value).cast("timestamp" if value.tzinfo else "timestamp_ntz"), T.TimestampType() if value.tzinfo else T.TimestampNTZType())
+        # A wall-clock time goes as text: as a time it would pass through the machine's and the session's zones.
+        return V(F.lit(value), T.TimestampType()) if value.tzinfo else V(F.lit(value.isoformat(" ")).cast("timestamp_ntz"), T.TimestampNTZType())
     if isinstance(value, datetime.date):
         return V(F.lit(value), T.DateType())
     if isinstance(value, datetime.timedelta):
