@@ -190,6 +190,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """The documents that contain no item, as they are."""
-    out = contaminated(docs.select(key, text), benchmark, key, text, **how).select(F.col(key)).distinct()
+    """The documents that contain no item, as they are.
+
+    The keys found are written first: Spark then knows their size and, while they are
+    few, does not shuffle the texts.
+    """
+    out = durable(contaminated(docs.select(key, text), benchmark, key, text, **how).select(F.col(key)).distinct())
     return docs.join(out, key, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
