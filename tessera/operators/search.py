@@ -24,41 +24,51 @@ def _distance(base: np.ndarray, q: np.ndarray, kind: str) -> np.ndarray:
     return np.sqrt(np.maximum((base**2).sum(1)[:, None] + (q**2).sum(1)[None] - 2 * base @ q.T, 0))
 
 
-def vector_search(base: DataFrame, vector: str, key: str, queries: DataFrame, query_vector: str, query_key: str, top_k: int = 10, distance: str = "COSINE", block: int = 1000) -> DataFrame:
+def vector_search(base: DataFrame, vector: str, key: str, queries: DataFrame, query_vector: str, query_key: str, top_k: int = 10, distance: str = "COSINE", block: int = 1000, held_bytes: int = 256 << 20) -> DataFrame:
     """(query_key, key, distance): the ``top_k`` nearest rows of ``base`` for every query, exactly.
 
-    Queries go over the base in blocks of a fixed size; each task keeps its own best
-    ``top_k`` a query, and only those are shuffled.  Ties go to the smaller key.
+    Queries are broadcast, ``held_bytes`` of vectors at a time, each with one scan of the
+    base; within a scan they go over the rows in blocks of a fixed size.  Each task keeps
+    its own best ``top_k`` a query, and only those are shuffled.  Ties go to the smaller key.
     """
-    found = None
-    rows, blocks = [], []
-    for row in queries.select(F.col(query_key).alias("k"), F.col(query_vector).alias("v")).toLocalIterator():
-        rows.append(row)
-        if len(rows) == block:
-            blocks.append(rows)
-            rows = []
-    if rows:
-        blocks.append(rows)
+    context = base.sparkSession.sparkContext
     kinds = f"`{query_key}` {queries.schema[query_key].dataType.simpleString()}, `{key}` {base.schema[key].dataType.simpleString()}, distance double"
-    for rows in blocks:
-        ids, q = _blocks(rows, "v", "k")
+    empty = pd.DataFrame({query_key: pd.Series(dtype="object"), key: pd.Series(dtype="object"), "distance": pd.Series(dtype="float64")})
+
+    def scan(blocks: list) -> DataFrame:
+        sent = context.broadcast(blocks)
 
-        def run(parts, ids=ids, q=q):
-            best = pd.DataFrame({query_key: pd.Series(dtype="object"), key: pd.Series(dtype="object"), "distance": pd.Series(dtype="float64")})
+        def run(parts):
+            best = [empty] * len(sent.value)
             for part in parts:
                 part = part[part[vector].notna()]
                 if not len(part):
                     continue
-                d = _distance(np.array([np.asarray(x, np.float64) for x in part[vector]]), q, distance)
-                keys = part[key].to_numpy()
-                new = []
-                for j, i in enumerate(ids):
-                    order = np.lexsort((keys, d[:, j]))[:top_k]
-                    new.append(pd.DataFrame({query_key: i, key: keys[order], "distance": d[order, j]}))
-                best = pd.concat([*([best] if len(best) else []), *new]).sort_values(["distance", key]).groupby(query_key, sort=False).head(top_k)
-            yield best
-
-        part = base.select(key, vector).mapInPandas(run, kinds)
+                rows, keys = np.array([np.asarray(x, np.float64) for x in part[vector]]), part[key].to_numpy()
+                for k, (ids, q) in enumerate(sent.value):
+                    d = _distance(rows, q, distance)
+                    new = []
+                    for j, i in enumerate(ids):
+                        order = np.lexsort((keys, d[:, j]))[:top_k]
+                        new.append(pd.DataFrame({query_key: i, key: keys[order], "distance": d[order, j]}))
+                    best[k] = pd.concat([*([best[k]] if len(best[k]) else []), *new]).sort_values(["distance", key]).groupby(query_key, sort=False).head(top_k)
+            yield from best
+
+        return base.select(key, vector).mapInPandas(run, kinds)
+
+    found, rows, blocks, held = None, [], [], 0
+    for row in queries.select(F.col(query_key).alias("k"), F.col(query_vector).alias("v")).toLocalIterator():
+        rows.append(row)
+        if len(rows) == block:
+            blocks.append(_blocks(rows, "v", "k"))
+            held, rows = held + blocks[-1][1].nbytes, []
+            if held >= held_bytes:
+                part = scan(blocks)
+                found, blocks, held = part if found is None else found.unionByName(part), [], 0
+    if rows:
+        blocks.append(_blocks(rows, "v", "k"))
+    if blocks:
+        part = scan(blocks)
         found = part if found is None else found.unionByName(part)
     if found is None:
         return base.sparkSession.createDataFrame([], kinds)

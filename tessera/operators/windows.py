@@ -13,23 +13,34 @@ from ..plans.frame import DataFrame, Series
 from ..plans.rows import fresh
 
 
-def _global_rank(x: Series, method: str, na_option: str, ascending: bool, pct: bool) -> Series:
-    """Ranks over all rows from counts of distinct values.
+def _tally(s: Series, ascending: bool) -> tuple[Series, str, str, str, int, int]:
+    """A series with, for its value, the number of equal ones, of those before it, and of distinct ones before it; then the number of values, and of distinct ones.
 
     Values are counted before the shuffle; running counts over the ordered values come
-    from partition totals; ranks go back by a join on the value.
+    from partition totals; they go back by a join on the value, once for all ranks of a column.
     """
-    from .offsets import running, with_offset
+    from .offsets import tallied
 
-    null = logic.isnull(x.v)
+    rows, said = s.rows, str(s.expr)[8:-2]
+    known = (said, ascending) if said in rows.sdf.columns else None
+    if known in rows.tallies:
+        return rows.tallies[known]
+    x = s if known else s._stored()
     v, n, below, dense = fresh(), fresh(), fresh(), fresh()
-    counts = x.rows.sdf.where(~null).groupBy(x.expr.alias(v)).agg(F.count(F.lit(1)).alias(n))
-    order = [F.col(v).asc() if ascending else F.col(v).desc()]
-    table = running(with_offset(counts, order, dense), [F.col(dense)], F.col(n), "sum", below)
-    table = table.select(v, n, (F.col(below) - F.col(n)).alias(below), dense)
-    total, kinds = x.rows.sdf.agg(F.count(F.when(~null, 1)), F.count_distinct(F.when(~null, x.expr))).first()
+    counts = rows.sdf.where(~logic.isnull(x.v)).groupBy(x.expr.alias(v)).agg(F.count(F.lit(1)).alias(n))
+    table, total, kinds = tallied(counts, [F.col(v).asc() if ascending else F.col(v).desc()], n, below, dense)
+    rows.sdf = rows.sdf.join(table, x.expr == F.col(v), "left")
+    found = (x, n, below, dense, total, kinds)
+    if known:
+        rows.tallies[known] = found
+    return found
+
+
+def _global_rank(s: Series, method: str, na_option: str, ascending: bool, pct: bool) -> Series:
+    """Ranks over all rows from counts of distinct values."""
+    x, n, below, dense, total, kinds = _tally(s, ascending)
+    null = logic.isnull(x.v)
     nulls = x.rows.sdf.where(null).count() if na_option != "keep" else 0
-    x.rows.sdf = x.rows.sdf.join(table, x.expr == F.col(v), "left")
     low, size = F.col(below) + 1 + (nulls if na_option == "top" else 0), F.col(n)
     span = {"min": lambda lo, k: lo, "max": lambda lo, k: lo + k - 1, "average": lambda lo, k: lo + (k - 1) / 2.0}
     top = kinds if method == "dense" else total + nulls
@@ -43,14 +54,28 @@ def _global_rank(x: Series, method: str, na_option: str, ascending: bool, pct: b
     return x._new(out / F.lit(float(top or 1)) if pct else out)
 
 
+def _first_rank(x: Series, order: list[Column], na_option: str, pct: bool) -> Series:
+    """Ranks over all rows in which ties go by the order of the rows."""
+    from .offsets import with_offset
+
+    rows, at, null = x.rows, fresh(), logic.isnull(x.v)
+    rows.sdf = with_offset(rows.sdf, [*order, *rows.sort_columns()], at)
+    out = (F.col(at) + 1).cast("double")
+    if pct:
+        out = out / F.lit(float(rows.sdf.where(~null if na_option == "keep" else F.lit(True)).count() or 1))
+    return x._new(F.when(null, None).otherwise(out) if na_option == "keep" else out)
+
+
 def rank(s: Series, by: list[Column], method="average", na_option="keep", ascending=True, pct=False) -> Series:
     """Positions among the values, ties by method; always floating."""
+    if not by and method != "first":
+        return _global_rank(s, method, na_option, ascending, pct)
     x = s._stored()
     null = logic.isnull(x.v)
-    if not by and method != "first":
-        return _global_rank(x, method, na_option, ascending, pct)
     key = x.expr.asc_nulls_last() if ascending else x.expr.desc_nulls_last()
     first = (F.when(null, 0).otherwise(1) if na_option == "top" else F.when(null, 1).otherwise(0)).asc()
+    if not by:
+        return _first_rank(x, [first, key], na_option, pct)
     w = Window.partitionBy(*by).orderBy(first, key)
     low = F.rank().over(w)
     size = F.count(F.lit(1)).over(Window.partitionBy(*by, null, x.expr))
@@ -71,7 +96,7 @@ class Rolling:
     def __init__(self, frame: DataFrame, window, min_periods=None, closed="right", on=None, by=(), series=False):
         self.frame, self.series = frame, series
         rows = frame.rows
-        self.by, self.reach = list(by), None
+        self.by, self.reach, self.time = list(by), None, None
         self.whole = window is None and not self.by
         if window is None:
             self.least = 1 if min_periods is None else min_periods
@@ -89,7 +114,7 @@ class Rolling:
             name = rows.put(time_micros(at, rows.value(at).type))[0]
             low, high = {"right": (-us + 1, 0), "left": (-us, -1), "both": (-us, 0), "neither": (-us + 1, -1)}[closed or "right"]
             self.spec = Window.partitionBy(*self.by).orderBy(name).rangeBetween(low, high)
-            self.on = on
+            self.time, self.span, self.width = name, (low, high), us
         self.skip = {on}
 
     def agg(self, how):
@@ -111,19 +136,36 @@ class Rolling:
         def kept(w):
             return n.over(w) if name == "count" else F.when(n.over(w) >= self.least, found.over(w))
 
-        if self.whole and name in ("count", "sum", "mean", "min", "max"):
+        if self.whole and name in ("count", "sum", "mean", "min", "max", "var", "std", "popvar"):
             return self._so_far(v, name)
+        if self.time and not self.by:
+            return self._by_time(kept)
         if self.reach is not None and not self.by:
             return F.col(self.frame.rows.near(lambda w: kept(w.rowsBetween(*self.frame_)), self.reach, 0))
         return F.col(self.frame.rows.put(kept(self.spec))[0])
 
+    def _by_time(self, kept) -> Column:
+        """A frame of time over all rows: time falls into buckets of eight windows, and rows near a border are context of the next bucket, too."""
+        rows, at, bucket, made = self.frame.rows, F.col(self.time), fresh(), fresh()
+        width = 8 * max(1, self.width)
+        own = F.floor(at / width)
+        spread = rows.sdf.withColumn(bucket, F.explode_outer(F.sequence(own, F.floor((at + self.width) / width))))
+        spec = Window.partitionBy(bucket).orderBy(self.time).rangeBetween(*self.span)
+        rows.sdf = spread.withColumn(made, kept(spec)).where(F.col(bucket).eqNullSafe(own)).drop(bucket)
+        return F.col(made)
 
     def _so_far(self, v: V, name: str) -> Column:
         """Expanding aggregates over all rows from partition totals."""
-        from .offsets import running
+        from .offsets import running, running_moments
 
         rows = self.frame.rows
         rows.offset()
+        if name in ("var", "std", "popvar"):
+            made = fresh()
+            rows.sdf = running_moments(rows.sdf, rows.sort_columns(), number(v), made)
+            n = F.col(made)["n"]
+            out = F.col(made)["m2"] / F.nullif(n - int(name != "popvar"), F.lit(0))
+            return F.when(n >= self.least, F.sqrt(out) if name == "std" else out)
 
         def run(expr: Column, how: str) -> Column:
             made = fresh()
@@ -147,12 +189,14 @@ for _n in ("count", "sum", "mean", "var", "std", "max", "min"):
 
 def interpolate(s: Series, method: str = "linear") -> Series:
     """Gaps between known values filled in row order; forward beyond the last for linear and pad."""
+    from .offsets import running
+
     x = s._stored()
     rows = x.rows
-    pos = F.row_number().over(rows.window())
-    p, = rows.put(pos)
-    known, = rows.put(F.when(~logic.isnull(x.v), F.struct(F.col(p).alias("p"), x.expr.cast("double").alias("x"))))
-    before, after = rows.put(F.last(known, ignorenulls=True).over(rows.window().rowsBetween(Window.unboundedPreceding, 0)), F.first(known, ignorenulls=True).over(rows.window().rowsBetween(0, Window.unboundedFollowing)))
+    p = rows.offset()
+    known, before, after = F.when(~logic.isnull(x.v), F.struct(F.col(p).alias("p"), x.expr.cast("double").alias("x"))), fresh(), fresh()
+    rows.sdf = running(rows.sdf, rows.sort_columns(), known, "last", before, rows.sort_columns(reverse=True))
+    rows.sdf = running(rows.sdf, rows.sort_columns(reverse=True), known, "last", after, rows.sort_columns())
     b, a, here = F.col(before), F.col(after), F.col(p)
     gap = F.nullif(a["p"] - b["p"], F.lit(0))
     filled = {
@@ -192,13 +236,9 @@ def cut(x: Series, bins, right: bool = True, labels=None) -> Series:
 
 
 def qcut(x: Series, q, labels=False) -> Series:
-    """Bins of equal counts by percent rank; 0-based numbers.
-
-    The rank is global: its window has one order and no groups, so edges for very large
-    inputs come from ``quantile`` and ``cut``.
-    """
-    s = x._stored()
-    some = F.percent_rank().over(Window.partitionBy(s.expr.isNull()).orderBy(s.expr))
+    """Bins of equal counts by percent rank, from counts of distinct values; 0-based numbers."""
+    s, _, below, _, total, _ = _tally(x, True)
+    some = F.col(below) / F.lit(float(max(1, total - 1)))
     if isinstance(q, int):
         bin_ = F.greatest(F.ceil(some * q) - 1, F.lit(0)).cast("bigint")
     else:
@@ -206,6 +246,4 @@ def qcut(x: Series, q, labels=False) -> Series:
         for k, (a, b) in enumerate(zip(q, q[1:])):
             inside = (some > a) & (some <= b) if k else (some >= a) & (some <= b)
             bin_ = F.when(inside, F.lit(k).cast("bigint")) if bin_ is None else bin_.when(inside, F.lit(k).cast("bigint"))
-    return s._window(F.when(s.expr.isNotNull(), bin_))
-
-
+    return s._new(F.when(s.expr.isNotNull(), bin_))

@@ -28,6 +28,8 @@ def fresh(prefix: str = "c") -> str:
 class Rows:
     def __init__(self, sdf: SparkFrame, index: list[str], names: list, order: list[tuple[str, bool]] | None = None):
         self.sdf, self.index, self.names, self.order, self.positions = sdf, index, names, list(order or []), ""
+        #: Counts of the values of a column, by its name and direction, once ranks have asked for them.
+        self.tallies: dict[tuple[str, bool], tuple] = {}
 
     def put(self, *exprs: Column) -> list[str]:
         """Columns for expressions; later expressions may build on them (windows may not nest)."""

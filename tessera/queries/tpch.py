@@ -115,11 +115,82 @@ def _(t):
     return rich.groupby("c_mktsegment", as_index=False).agg(numcust=NamedAgg("c_custkey", "size"), totacctbal=NamedAgg("c_acctbal", "sum")).round({"totacctbal": 2})
 
 
+@query(
+    "q7",
+    """
+    SELECT sn.n_name AS supp_nation, cn.n_name AS cust_nation, CAST(year(l_shipdate) AS BIGINT) AS l_year, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue
+    FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+    JOIN nation sn ON s_nationkey = sn.n_nationkey JOIN nation cn ON c_nationkey = cn.n_nationkey
+    JOIN region sr ON sn.n_regionkey = sr.r_regionkey JOIN region cr ON cn.n_regionkey = cr.r_regionkey
+    WHERE (sr.r_name = 'ASIA' AND cr.r_name = 'EUROPE' OR sr.r_name = 'EUROPE' AND cr.r_name = 'ASIA') AND l_shipdate >= TIMESTAMP '1995-01-01' AND l_shipdate < TIMESTAMP '1997-01-01'
+    GROUP BY ALL
+    """,
+)
+def _(t):
+    r = t.region
+    n = t.nation.merge(r[r["r_name"].isin(["ASIA", "EUROPE"])], left_on="n_regionkey", right_on="r_regionkey")[["n_nationkey", "n_name", "r_name"]]
+    s = t.supplier.merge(n.rename(columns={"n_name": "supp_nation", "r_name": "from"}), left_on="s_nationkey", right_on="n_nationkey")[["s_suppkey", "supp_nation", "from"]]
+    c = t.customer.merge(n.rename(columns={"n_name": "cust_nation", "r_name": "to"}), left_on="c_nationkey", right_on="n_nationkey")[["c_custkey", "cust_nation", "to"]]
+    li = t.lineitem
+    li = li[(li["l_shipdate"] >= D(1995, 1, 1)) & (li["l_shipdate"] < D(1997, 1, 1))]
+    li["l_year"] = li["l_shipdate"].dt.year
+    li["revenue"] = revenue(li)
+    j = li[["l_orderkey", "l_suppkey", "l_year", "revenue"]].merge(s, left_on="l_suppkey", right_on="s_suppkey")
+    j = j.merge(t.orders[["o_orderkey", "o_custkey"]], left_on="l_orderkey", right_on="o_orderkey").merge(c, left_on="o_custkey", right_on="c_custkey")
+    return j[j["from"] != j["to"]].groupby(["supp_nation", "cust_nation", "l_year"], as_index=False).agg({"revenue": "sum"}).round({"revenue": 2})
+
+
+@query(
+    "q8",
+    """
+    SELECT CAST(year(o_orderdate) AS BIGINT) AS o_year, round(sum(CASE WHEN sn.n_name = 'NATION_2' THEN l_extendedprice * (1 - l_discount) ELSE 0 END) / sum(l_extendedprice * (1 - l_discount)), 6) AS mkt_share
+    FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+    JOIN nation cn ON c_nationkey = cn.n_nationkey JOIN region ON cn.n_regionkey = r_regionkey JOIN nation sn ON s_nationkey = sn.n_nationkey
+    WHERE r_name = 'AMERICA' AND p_type = 'ECONOMY' GROUP BY 1
+    """,
+)
+def _(t):
+    r, p = t.region, t.part
+    n = t.nation.merge(r[r["r_name"] == "AMERICA"], left_on="n_regionkey", right_on="r_regionkey")[["n_nationkey"]]
+    c = semi(t.customer, n.rename(columns={"n_nationkey": "c_nationkey"}), "c_nationkey")[["c_custkey"]]
+    s = t.supplier.merge(t.nation[["n_nationkey", "n_name"]], left_on="s_nationkey", right_on="n_nationkey")[["s_suppkey", "n_name"]]
+    o = semi(t.orders, c.rename(columns={"c_custkey": "o_custkey"}), "o_custkey")
+    o["o_year"] = o["o_orderdate"].dt.year
+    li = semi(t.lineitem, p[p["p_type"] == "ECONOMY"][["p_partkey"]].rename(columns={"p_partkey": "l_partkey"}), "l_partkey")
+    li["volume"] = revenue(li)
+    j = li[["l_orderkey", "l_suppkey", "volume"]].merge(o[["o_orderkey", "o_year"]], left_on="l_orderkey", right_on="o_orderkey").merge(s, left_on="l_suppkey", right_on="s_suppkey")
+    j["part"] = j["volume"].where(j["n_name"] == "NATION_2", 0.0)
+    g = j.groupby("o_year", as_index=False).agg(part=NamedAgg("part", "sum"), volume=NamedAgg("volume", "sum"))
+    return g.assign(mkt_share=g["part"] / g["volume"])[["o_year", "mkt_share"]].round({"mkt_share": 6})
+
+
+@query(
+    "q15",
+    """
+    WITH r AS (SELECT l_suppkey, round(sum(l_extendedprice * (1 - l_discount)), 2) AS total_revenue FROM lineitem WHERE l_shipdate >= TIMESTAMP '1996-01-01' AND l_shipdate < TIMESTAMP '1996-04-01' GROUP BY 1)
+    SELECT s_suppkey, s_name, total_revenue FROM supplier JOIN r ON s_suppkey = l_suppkey WHERE total_revenue = (SELECT max(total_revenue) FROM r)
+    """,
+)
+def _(t):
+    li = t.lineitem
+    li = li[(li["l_shipdate"] >= D(1996, 1, 1)) & (li["l_shipdate"] < D(1996, 4, 1))]
+    li["total_revenue"] = revenue(li)
+    per = li.groupby("l_suppkey", as_index=False).agg({"total_revenue": "sum"}).round({"total_revenue": 2})
+    best = per[per["total_revenue"] == per["total_revenue"].max()]
+    return t.supplier.merge(best, left_on="s_suppkey", right_on="l_suppkey")[["s_suppkey", "s_name", "total_revenue"]]
+
+
+@query("sort_1", "SELECT l_partkey, l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY l_partkey, l_orderkey, l_linenumber")
+def _(t):
+    return t.lineitem.sort_values(["l_partkey", "l_orderkey", "l_linenumber"])[["l_partkey", "l_orderkey", "l_linenumber", "l_extendedprice"]]
+
+
 GROUPS = {
     "groupby_1": (["l_returnflag"], {"v": ("l_quantity", "sum")}, "SELECT l_returnflag, sum(l_quantity) AS v FROM lineitem GROUP BY 1"),
     "groupby_2": (["l_returnflag", "l_linestatus"], {"v": ("l_quantity", "sum")}, "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2"),
     "groupby_3": (["l_partkey"], {"v": ("l_quantity", "sum"), "m": ("l_tax", "mean")}, "SELECT l_partkey, sum(l_quantity) AS v, round(avg(l_tax), 6) AS m FROM lineitem GROUP BY 1"),
     "groupby_4": (["l_linenumber"], {"a": ("l_quantity", "mean"), "b": ("l_discount", "mean"), "c": ("l_tax", "mean")}, "SELECT l_linenumber, round(avg(l_quantity), 6) AS a, round(avg(l_discount), 6) AS b, round(avg(l_tax), 6) AS c FROM lineitem GROUP BY 1"),
+    "groupby_5": (["l_suppkey"], {"a": ("l_quantity", "sum"), "b": ("l_discount", "sum"), "c": ("l_tax", "sum")}, "SELECT l_suppkey, sum(l_quantity) AS a, round(sum(l_discount), 6) AS b, round(sum(l_tax), 6) AS c FROM lineitem GROUP BY 1"),
     "groupby_6": (["l_suppkey"], {"med": ("l_quantity", "median"), "sd": ("l_quantity", "std")}, "SELECT l_suppkey, median(l_quantity) AS med, round(stddev_samp(l_quantity), 6) AS sd FROM lineitem GROUP BY 1"),
     "groupby_7": (["l_returnflag"], {"hi": ("l_quantity", "max"), "lo": ("l_discount", "min")}, "SELECT l_returnflag, max(l_quantity) AS hi, min(l_discount) AS lo FROM lineitem GROUP BY 1"),
     "groupby_10": (["l_orderkey", "l_partkey", "l_suppkey"], {"v": ("l_quantity", "sum"), "n": ("l_quantity", "size")}, "SELECT l_orderkey, l_partkey, l_suppkey, sum(l_quantity) AS v, count(*) AS n FROM lineitem GROUP BY 1, 2, 3"),
@@ -129,7 +200,7 @@ for _name, (_keys, _aggs, _sql) in GROUPS.items():
     @query(_name, _sql)
     def _(t, keys=_keys, aggs=_aggs):
         out = t.lineitem.groupby(keys, as_index=False).agg(**aggs)
-        return out.round({n: 6 for n, (_, f) in aggs.items() if f in ("mean", "std")})
+        return out.round({n: 6 for n, (_, f) in aggs.items() if f in ("mean", "std", "sum")})
 
 
 @query("groupby_8_top2", "SELECT l_suppkey, l_extendedprice AS v FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS r FROM lineitem) WHERE r <= 2")

@@ -339,6 +339,29 @@ def test_limits_and_truth(frame):
 def test_expanding_over_all_rows(session):
     s = pd.Series([3.0, None, 1.0, 5.0, None, 2.0], name="x")
     f = session.read_pandas(s)
-    for how in ("count", "sum", "mean", "min", "max", "std"):
+    for how in ("count", "sum", "mean", "min", "max", "var", "std"):
         want = getattr(s.expanding(), how)()
         assert np.allclose(getattr(f.expanding(), how)().to_pandas().astype(float).fillna(-9), want.fillna(-9)), how
+
+
+def test_ranks_and_gaps_over_many_partitions(session):
+    rng = np.random.default_rng(3)
+    s = pd.Series(1e6 + rng.integers(0, 40, 500).astype(float), name="x").mask(rng.random(500) < 0.2)
+    f = session.read_pandas(s)
+    for how in ("average", "min", "max", "dense", "first"):
+        for option in ("keep", "top", "bottom"):
+            for pct in (False, True):
+                want = s.rank(method=how, na_option=option, pct=pct)
+                assert np.allclose(f.rank(method=how, na_option=option, pct=pct).to_pandas().astype(float).fillna(-1), want.fillna(-1)), (how, option, pct)
+    assert np.allclose(f.interpolate().to_pandas().astype(float).fillna(-1), s.interpolate().fillna(-1))
+    assert np.allclose(f.expanding().var().to_pandas().astype(float).fillna(-1), s.expanding().var().fillna(-1))
+
+
+def test_rolling_over_time_without_groups(session):
+    rng = np.random.default_rng(4)
+    at = pd.Timestamp("2024-01-01") + pd.to_timedelta(np.sort(rng.choice(100_000, 300, replace=False)), unit="s")
+    p = pd.DataFrame({"at": at, "x": rng.integers(0, 9, 300).astype(float)})
+    f = session.read_pandas(p)
+    for closed in ("right", "left", "both", "neither"):
+        want = p.rolling("1h", on="at", closed=closed)["x"].sum()
+        assert np.allclose(f.rolling("1h", on="at", closed=closed).sum()["x"].to_pandas().astype(float).fillna(-1), want.fillna(-1)), closed
