@@ -365,3 +365,9 @@ def test_rolling_over_time_without_groups(session):
     for closed in ("right", "left", "both", "neither"):
         want = p.rolling("1h", on="at", closed=closed)["x"].sum()
         assert np.allclose(f.rolling("1h", on="at", closed=closed).sum()["x"].to_pandas().astype(float).fillna(-1), want.fillna(-1)), closed
+
+
+def test_extremes_of_a_frame_are_the_first_of_ties(session):
+    p = pd.DataFrame({"x": [2.0, 9.0, 1.0, 9.0, 1.0, None], "y": [5.0, 5.0, 5.0, 4.0, 4.0, 4.0]}, index=pd.Index([30, 20, 10, 40, 50, 60], name="k"))
+    f = session.read_pandas(p)
+    assert f.idxmax().to_dict() == p.idxmax().to_dict() and f.idxmin().to_dict() == p.idxmin().to_dict()
