@@ -371,3 +371,13 @@ def test_extremes_of_a_frame_are_the_first_of_ties(session):
     p = pd.DataFrame({"x": [2.0, 9.0, 1.0, 9.0, 1.0, None], "y": [5.0, 5.0, 5.0, 4.0, 4.0, 4.0]}, index=pd.Index([30, 20, 10, 40, 50, 60], name="k"))
     f = session.read_pandas(p)
     assert f.idxmax().to_dict() == p.idxmax().to_dict() and f.idxmin().to_dict() == p.idxmin().to_dict()
+
+
+def test_extremes_of_a_series_are_the_first_of_ties(session):
+    p = pd.Series([2.0, 9.0, 1.0, 9.0, 1.0, None], index=pd.Index([30, 20, 10, 40, 50, 60], name="k"), name="x")
+    f = session.read_pandas(p)
+    assert (f.idxmax(), f.idxmin()) == (p.idxmax(), p.idxmin()) == (20, 10)
+    # Row order, not the order of the labels, and not that of the files.
+    back = f.sort_index(ascending=False)
+    assert (back.idxmax(), back.idxmin()) == (40, 50)
+    assert f[f > 100].idxmax() is None
