@@ -260,7 +260,9 @@ def _(t):
 @query("idx_extremes", "SELECT max_by(c_custkey, c_acctbal) AS hi, min_by(c_custkey, c_acctbal) AS lo FROM customer")
 def _(t):
     f = t.indexed("customer")
-    return f.rows.sdf.agg(F.max_by(F.col("c_custkey"), f["c_acctbal"].expr).alias("hi"), F.min_by(F.col("c_custkey"), f["c_acctbal"].expr).alias("lo"))
+    key, x = F.col("c_custkey"), f["c_acctbal"].expr
+    first = lambda pick, then: pick(key, F.when(x.isNotNull(), F.struct(x, then)))
+    return f.rows.sdf.agg(first(F.max_by, -key).alias("hi"), first(F.min_by, key).alias("lo"))  # of ties the smallest key
 
 
 @query("describe")

@@ -87,5 +87,12 @@ def test_null_keys_of_whole_tables_meet(spark, duck):
     assert got["k"].isna().sum() == duck.sql("SELECT count(*) FROM events WHERE event_id % 4 = 0").fetchall()[0][0] and got["event_id"].max() >= 40
 
 
+def test_extremes_are_the_first_keys_of_ties(spark, tmp_path):
+    rows = [(k, x) for k, x in zip(range(8), (None, 2.0, 9.0, 1.0, 9.0, 1.0, 9.0, 1.0))]
+    for name, dealt in (("up", rows), ("down", rows[::-1])):
+        spark.createDataFrame(dealt, "c_custkey bigint, c_acctbal double").coalesce(1).write.parquet(str(tmp_path / name / "customer.parquet"))
+        assert [tuple(r) for r in QUERIES["idx_extremes"](spark, str(tmp_path / name)).collect()] == [(2, 3)]
+
+
 def test_sql_belongs_to_queries():
     assert set(SQL) <= set(QUERIES)
