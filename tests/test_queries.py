@@ -10,6 +10,7 @@ import pandas as pd
 import pytest
 
 from tessera.queries import QUERIES, SQL
+from tessera.queries.verbs import said
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -94,5 +95,10 @@ def test_extremes_are_the_first_keys_of_ties(spark, tmp_path):
         assert [tuple(r) for r in QUERIES["idx_extremes"](spark, str(tmp_path / name)).collect()] == [(2, 3)]
 
 
+def test_facts_round_a_half_as_sql(duck):
+    for x in (0.00025, 0.00005, -0.00025, 0.49835, 1234.56785, 0.00035):
+        assert said(x) == str(duck.sql(f"SELECT CAST(round(({x}::DOUBLE) * 10000) AS BIGINT)").fetchall()[0][0]), x
+
+
 def test_sql_belongs_to_queries():
     assert set(SQL) <= set(QUERIES)
