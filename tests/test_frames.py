@@ -1,6 +1,7 @@
 """Frame semantics on tiny inputs, against plain pandas where it says the same."""
 
 import datetime
+import decimal
 
 import numpy as np
 import pandas as pd
@@ -381,3 +382,43 @@ def test_extremes_of_a_series_are_the_first_of_ties(session):
     back = f.sort_index(ascending=False)
     assert (back.idxmax(), back.idxmin()) == (40, 50)
     assert f[f > 100].idxmax() is None
+
+
+def test_transfers_by_arrow_and_by_rows_agree(spark):
+    from tessera.operators import transfer
+
+    kinds = {"b": "boolean", "i": "int", "l": "bigint", "f": "float", "d": "double", "s": "string", "t": "date", "m": "decimal(9,2)", "k": "tinyint"}
+    values = {"b": True, "i": 7, "l": 2**60 + 1, "f": 1.1, "d": float("nan"), "s": "x", "t": datetime.date(2024, 2, 29), "m": decimal.Decimal("1.50"), "k": -3}
+    whole = [tuple(values[k] for k in kinds)] * 5
+    for rows in (whole, [*whole, (None,) * len(kinds), *whole], [(None,) * len(kinds)] * 3, []):
+        df = spark.createDataFrame(rows, ", ".join(f"{k} {t}" for k, t in kinds.items())).coalesce(1)
+        assert transfer.plain(df)
+        pd.testing.assert_frame_equal(transfer.fetched(df), df.toPandas())
+        for size in (1, 2, 3, 100):
+            got, want = list(transfer.pages(df, size)), list(transfer._row_pages(df, size))
+            assert len(got) == len(want)
+            for a, b in zip(got, want):
+                pd.testing.assert_frame_equal(a, b)
+    assert spark.conf.get(transfer.ARROW) == "false" and not transfer.plain(spark.sql("SELECT array(1) AS a"))
+
+
+def test_pages_come_as_batches_not_as_rows(session, monkeypatch):
+    from tessera.operators import transfer
+
+    monkeypatch.setattr(transfer, "_row_pages", lambda *_: pytest.fail("rows fetched one by one"))
+    f = session.read_pandas(pd.DataFrame({"x": np.arange(25)[::-1], "s": "a"})).sort_values("x")
+    assert [len(p) for p in f.to_pandas_batches(page_size=10)] == [10, 10, 5]
+    assert [r["x"] for _, r in f.iterrows()] == list(range(25)) and [r.x for r in f.itertuples()] == list(range(25))
+
+
+def test_equal_frames_count_their_rows(session):
+    a, b, c = (session.read_pandas(pd.DataFrame({"x": x}, index=[0] * 3)) for x in ([1.0, 1.0, None], [1.0, None, 1.0], [1.0, None, None]))
+    assert a.equals(b) and not a.equals(c) and not c.equals(a) and not a.equals(a.head(2)) and not a.head(2).equals(a)
+
+
+def test_single_rows_near_the_start_need_no_positions(session):
+    f = session.read_pandas(pd.DataFrame({"x": [5, 6, 7], "s": ["a", "b", "c"]}))
+    assert f.iat[1, 1] == "b" and f["x"].iat[2] == 7 and f.iloc[0]["s"] == "a" and not f.rows.positions
+    assert f.iloc[-1]["x"] == 7
+    with pytest.raises(IndexError):
+        f.iat[3, 0]
