@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 import tessera
 from tessera import NamedAgg, concat, udf
 from tessera.functions import geo, nested
+from tessera.plans.frame import DataFrame
 
 
 @pytest.fixture
@@ -422,3 +423,25 @@ def test_single_rows_near_the_start_need_no_positions(session):
     assert f.iloc[-1]["x"] == 7
     with pytest.raises(IndexError):
         f.iat[3, 0]
+
+
+def _training_shares(session, monkeypatch, kind):
+    """Rows that each task holds when a model of a kind is fitted on 1,000 rows in one piece, 100 rows a task."""
+    from tessera import ml
+
+    seen = []
+
+    class Caught:
+        def fit(self, sdf):
+            seen.extend(len(p) for p in sdf.rdd.glom().collect())
+
+    monkeypatch.setattr(ml, "SHARE", 100)
+    monkeypatch.setattr(getattr(ml, kind), "make", lambda **_: Caught())
+    f = DataFrame.from_spark(session.spark.range(0, 1000, 1, 1).withColumn("y", F.col("id") % 2 == 0))
+    getattr(ml, kind)().fit(f[["id"]], f["y"])
+    return seen
+
+
+def test_training_rows_of_classes_are_dealt_over_tasks(session, monkeypatch):
+    seen = _training_shares(session, monkeypatch, "XGBClassifier")
+    assert sum(seen) == 1000 and max(seen) <= 200
