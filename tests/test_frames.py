@@ -445,3 +445,8 @@ def _training_shares(session, monkeypatch, kind):
 def test_training_rows_of_classes_are_dealt_over_tasks(session, monkeypatch):
     seen = _training_shares(session, monkeypatch, "XGBClassifier")
     assert sum(seen) == 1000 and max(seen) <= 200
+
+
+def test_training_rows_of_values_are_dealt_over_tasks(session, monkeypatch):
+    seen = _training_shares(session, monkeypatch, "XGBRegressor")
+    assert sum(seen) == 1000 and max(seen) <= 200
