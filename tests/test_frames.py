@@ -450,3 +450,68 @@ def test_training_rows_of_classes_are_dealt_over_tasks(session, monkeypatch):
 def test_training_rows_of_values_are_dealt_over_tasks(session, monkeypatch):
     seen = _training_shares(session, monkeypatch, "XGBRegressor")
     assert sum(seen) == 1000 and max(seen) <= 200
+
+
+def _holt(p: pd.DataFrame, horizon: int):
+    """The trend by one loop over a whole series."""
+    p = p.dropna(subset=["v"]).sort_values(["ts", "v"])
+    y, errors = p["v"].tolist(), []
+    level, slope = y[0], 0.0
+    for x in y[1:]:
+        guess = level + slope
+        errors.append(x - guess)
+        new = 0.5 * x + 0.5 * guess
+        slope, level = 0.1 * (new - level) + 0.9 * slope, new
+    k = np.arange(1, horizon + 1)
+    step = p["ts"].diff().median() if len(p) > 1 else pd.Timedelta(days=1)
+    at = [(p["ts"].iloc[-1] + step * int(i)).floor("us") for i in k]
+    return at, level + slope * k, 1.959964 * (np.std(errors) if errors else 0.0) * np.sqrt(k)
+
+
+def test_forecast_in_ranges_is_that_of_the_whole_series(session, spark, monkeypatch):
+    from tessera.ai import forecast
+    from tessera.operators import trend
+
+    scanned, durable = [], trend.durable
+    monkeypatch.setattr(trend, "durable", lambda df: scanned.append(durable(df)) or scanned[-1])
+    rng, n = np.random.default_rng(5), 9000
+    at = pd.Timestamp("2024-01-01") + pd.to_timedelta(np.sort(rng.choice(10**9, n)), unit="us")
+    p = pd.DataFrame({"ts": at, "v": 100 + np.cumsum(rng.normal(size=n)), "k": rng.choice(["a", "b"], n, p=[0.8, 0.2])})
+    p.loc[rng.random(n) < 0.05, "v"] = np.nan
+    p.loc[p.index[:5], "ts"] = p["ts"].iloc[0]
+    p = pd.concat([p, pd.DataFrame({"ts": at[:1], "v": [3.0], "k": ["one"]})])
+    p.loc[p["k"] == "b", "k"] = None
+    df = spark.createDataFrame(p.sample(frac=1, random_state=2))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for ids in ([], ["k"]):
+            got = forecast(df, "ts", "v", ids, 3).toPandas()
+            assert scanned.pop().where("d IS NULL").groupBy("g").count().agg(F.max("count")).first()[0] > 1
+            for key, part in p.groupby("k", dropna=False) if ids else [(None, p)]:
+                mine = got[got["k"].isna() if pd.isna(key) else got["k"] == key] if ids else got
+                mine = mine.sort_values("forecast_timestamp")
+                times, mean, wide = _holt(part, 3)
+                assert mine["forecast_timestamp"].tolist() == times
+                assert np.allclose(mine["forecast_value"], mean, rtol=1e-12) and np.allclose(mine["prediction_interval_upper_bound"], mean + wide, rtol=1e-12) and np.allclose(mine["prediction_interval_lower_bound"], mean - wide, rtol=1e-12)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_forecast_of_half_a_microsecond_and_of_nothing(spark):
+    from tessera.ai import forecast
+
+    rows = [(datetime.datetime(2024, 1, 1, 0, 0, 0, us), float(us)) for us in (0, 1, 3)]
+    df = spark.createDataFrame(rows, "ts timestamp, v double")
+    assert [r[0].microsecond for r in forecast(df, "ts", "v", [], 3).orderBy("forecast_timestamp").collect()] == [4, 6, 7]
+    assert forecast(df.withColumn("v", F.lit(None).cast("double")), "ts", "v", [], 3).count() == 0
+
+
+def test_anomalies_need_no_window_over_all_rows(session):
+    from tessera import ml
+
+    f = session.read_pandas(pd.DataFrame({"t": pd.date_range("2024-01-01", periods=30), "v": [1.0, 2.0] * 14 + [1.5, 90.0], "k": ["a", None] * 15}))
+    for ids in ({}, {"id_col": f[["k"]]}):
+        found = ml.ARIMAPlus().fit(f[["t"]], f[["v"]], **ids).detect_anomalies()
+        # Within its group of ones, 1.5 is one too.
+        assert sorted(r["y"] for r in found.to_spark().where("is_anomaly").collect()) == ([1.5, 90.0] if ids else [90.0]) and len(found) == 30
+        assert list(found.columns) == ["t", "y", *(["k"] if ids else []), "z", "is_anomaly"] and "Window" not in found.sql
