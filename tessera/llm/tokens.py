@@ -12,8 +12,8 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-#: Bytes whose running sums are held at once.
-CHUNK = 1 << 20
+#: Bytes whose running sums are held at once; half a MB of sums stays in a core's own cache.
+CHUNK = 1 << 16
 BASE = 0xD6E8FEB86659FD93
 
 
@@ -41,8 +41,6 @@ class Powers:
 
 _POWERS = Powers(BASE)
 _BYTE = mixed(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -56,13 +54,32 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, borders - borders[0]
 
 
+def line_spans(data: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, number from 0, start and end of every line, empty ones too."""
+    breaks = np.flatnonzero(data == 10)
+    count = np.diff(np.searchsorted(breaks, borders)) + 1
+    doc = np.repeat(np.arange(len(count)), count)
+    number = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+    starts, ends, first = np.empty(len(doc), np.int64), np.empty(len(doc), np.int64), number == 0
+    last = np.append(first[1:], True)[: len(doc)]
+    starts[first], starts[~first] = borders[:-1], breaks + 1
+    ends[last], ends[~last] = borders[1:], breaks
+    return doc, number, starts, ends
+
+
+def pieces(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of some spans, one after the other, and their borders."""
+    borders = np.concatenate(([0], np.cumsum(ends - starts)))
+    return data[np.arange(borders[-1]) + np.repeat(starts - borders[:-1], ends - starts)], borders
+
+
 class Words:
-    """``starts`` and ``ends`` in ``data``, the text ``doc`` and the ``hashes`` of all words of some texts."""
+    """``starts`` and ``ends`` in ``data``, the text ``doc`` and the ``hashes`` of all words of some texts, or of bytes and their borders."""
 
-    def __init__(self, texts: pa.Array):
-        self.data, self.borders = data, borders = text_bytes(texts)
+    def __init__(self, texts: pa.Array | tuple[np.ndarray, np.ndarray]):
+        self.data, self.borders = data, borders = texts if isinstance(texts, tuple) else text_bytes(texts)
         n = len(data)
-        solid = ~_SPACE[data]
+        solid = (data != 32) & (data - np.uint8(9) > 4)
         cut = np.zeros(n + 1, bool)
         cut[borders] = True
         begins, stops = solid.copy(), solid.copy()
@@ -82,7 +99,9 @@ class Words:
             high = self.ends[upto - 1]
             up, down = _POWERS.upto(int(high - low) + 1)
             sums = np.zeros(int(high - low) + 1, U)
-            np.cumsum(_BYTE[self.data[low:high]] * up[:-1], dtype=U, out=sums[1:])
+            values = _BYTE.take(self.data[low:high], mode="clip")  # bytes are never out of bounds; this mode doesn't look
+            np.multiply(values, up[:-1], out=values)
+            np.cumsum(values, dtype=U, out=sums[1:])
             s, e = self.starts[at:upto] - low, self.ends[at:upto] - low
             out[at:upto] = mixed((sums[e] - sums[s]) * down[s] + (e - s).astype(U))
             at = upto

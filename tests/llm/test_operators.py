@@ -8,6 +8,7 @@ import struct
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import regex
 import tiktoken
@@ -496,6 +497,29 @@ def test_rows_that_repeat_a_key_keep_their_own_lines(spark):
     assert sorted(r.text for r in lines.remove(df).collect()) == sorted([first, "rest a b c", own, own, "x"])
 
 
+def test_only_wanted_lines_are_read_for_words(monkeypatch):
+    """Verification passes pick few lines; what they pick has the sets that a pass over all lines gives it."""
+    read, words = [], lines.Words
+    monkeypatch.setattr(lines, "Words", lambda x: read.append(len((made := words(x)).data)) or made)
+    texts = pa.array(["a b\n\n c a\nd", None, "", "\nx y z\n", "e f g h", "\n"])
+    ranks = np.arange(lines.SLOTS, dtype=np.uint32)
+    every = lines.LineSets(texts, ranks)
+    some = lines.LineSets(texts, ranks, lambda doc, number: (doc == 0) & (number > 0) | (doc == 3))
+    none = lines.LineSets(texts, ranks, lambda doc, number: doc < 0)
+    assert read == [26, 10, 0] and len(none.n) == 0
+    kept = [k for k, x in enumerate(zip(every.doc.tolist(), every.number.tolist())) if x in ((0, 2), (0, 3), (3, 1))]
+    assert (some.doc.tolist(), some.number.tolist()) == ([0, 0, 3], [2, 3, 1]) and [every.sid[k] for k in kept] == some.sid.tolist()
+    assert some.keys.tolist() == [x for k in kept for x in every.keys[every.starts[k] : every.starts[k] + every.n[k]].tolist()]
+
+
+@pytest.mark.parametrize("count", [1, 50, 70_000])
+def test_words_of_a_line_are_in_order_if_slots_clash(count):
+    r = np.random.default_rng(4)
+    line = np.sort(r.integers(0, count, 100_000))
+    keys = r.integers(0, 6, len(line)).astype(np.uint64) << np.uint64(64 - lines.SLOT_BITS) | r.integers(0, 9, len(line)).astype(np.uint64)
+    assert (lines.in_order(keys, line, count) == keys[np.lexsort((keys, line))]).all()
+
+
 def test_sketch_groups_over_batches(spark):
     """A group longer than a batch meets its first and its previous lines; every result is an earlier line."""
     rows = [(k, " ".join([f"w{j}" for j in range(24)] + [f"x{k % 7}", f"y{k % 5}"])) for k in range(3000)]
